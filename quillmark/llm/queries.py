@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import copies
+from quillmark.llm import copies, similar
 from quillmark.session import table
 
 
@@ -23,6 +23,21 @@ def p4_representatives(spark: SparkSession, where: str) -> DataFrame:
     return copies.representatives(_scopes(spark, where))
 
 
+def _reworded(spark: SparkSession, where: str) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    items = table(spark, where, "rubric_items").select(F.lit("item").alias("scope"), F.col("rubric_id").alias("id"), "text", none.alias("aliases"))
+    bank = table(spark, where, "bank_entries").select(F.lit("bank").alias("scope"), F.col("bank_id").cast("long").alias("id"), "text", "aliases")
+    return items.unionByName(bank)
+
+
+def p5_found(spark: SparkSession, where: str) -> DataFrame:
+    return similar.look_alikes(_reworded(spark, where))
+
+
+def p5_groups(spark: SparkSession, where: str) -> DataFrame:
+    return similar.groups(_reworded(spark, where))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
