@@ -1,0 +1,28 @@
+"""Drop repeats within a task, before anything is shuffled."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
+#: Keys that a task remembers; forgotten when full, so a repeat may pass, which later steps allow for.
+_REMEMBER = 200_000
+
+
+def first_of(*columns: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step for ``mapInArrow`` that passes the first row of each value of ``columns`` that the task meets."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for b in batches:
+            keep = []
+            for i, c in enumerate(zip(*(b.column(x).to_pylist() for x in columns), strict=True)):
+                if c not in seen:
+                    if len(seen) >= _REMEMBER:
+                        seen.clear()
+                    seen.add(c)
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return step
