@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import copies, leaks, packing, similar, splits, truncation
+from quillmark.llm import copies, defects, leaks, packing, similar, splits, truncation
 from quillmark.session import table
 
 
@@ -88,6 +88,14 @@ def p7_items(spark: SparkSession, where: str) -> DataFrame:
     return leaks.report(_texts(spark, where), _items(spark, where))
 
 
+def p1_found(spark: SparkSession, where: str) -> DataFrame:
+    return defects.found(table(spark, where, "preferences"))
+
+
+def p1_defect_counts(spark: SparkSession, where: str) -> DataFrame:
+    return defects.counts(table(spark, where, "preferences"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

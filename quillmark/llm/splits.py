@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.words import Codes, is_number, words
-from quillmark.llm.first import first_of
 from quillmark.session import durable
 
 _BITS = 32  # of a block
+#: Classes that a task remembers, to give the keys of a copy no second time; forgotten when full.
+_REMEMBER = 200_000
 _PRINTED = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("class", pa.binary()), ("size", pa.int32()), ("print", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _DDL = "id long, train boolean, class binary, size int, print long, words array<long>, keys array<long>"
 
@@ -70,6 +71,7 @@ def block_keys(codes: np.ndarray, numbers: int, level: int, blocks: int) -> np.n
 def _prints(overlap: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, starts = Codes(), level_starts(overlap, 64)
+        seen: set[tuple[bytes, bool]] = set()
         for b in batches:
             out: list[list] = [[] for _ in _PRINTED]
             for id_, train, text in zip(*(b.column(c).to_pylist() for c in ("id", "train", "text")), strict=True):
@@ -86,14 +88,18 @@ def _prints(overlap: float):
                 number_codes = np.sort(np.array([codes[w] for w in own if is_number(w)], dtype=np.int64))
                 digest = hashlib.blake2b(number_codes.tobytes(), digest_size=8).digest()
                 rest = np.setdiff1d(all_codes, number_codes, assume_unique=True)
-                keys = []
+                kind = hashlib.blake2b(all_codes.tobytes(), digest_size=16).digest()
+                keys = [np.zeros(0, dtype=np.int64)]
+                new = (kind, train) not in seen
+                if new and len(seen) >= _REMEMBER:
+                    seen.clear()
+                seen.add((kind, train))
                 for at in (level, level - 1):
-                    if at >= 0:
+                    if at >= 0 and new:
                         most = radius(overlap, starts[at + 1] - 1 + starts[at + 2] - 1)
                         keys.append(block_keys(rest, int.from_bytes(digest, "big"), at, most + 1))
                 bits = np.zeros(1, dtype=np.uint64)
                 np.bitwise_xor.at(bits, np.zeros(len(all_codes), dtype=np.int64), np.uint64(1) << (all_codes.view(np.uint64) >> np.uint64(58)))
-                kind = hashlib.blake2b(all_codes.tobytes(), digest_size=16).digest()
                 for column, v in zip(out, (id_, train, kind, size, int(_signed(bits)[0]), all_codes, np.concatenate(keys)), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PRINTED, strict=True)], schema=_PRINTED)
@@ -109,7 +115,7 @@ def prints(df: DataFrame, overlap: float = 0.75) -> DataFrame:
 
 def class_pairs(p: DataFrame, overlap: float) -> DataFrame:
     """Pairs (a, b) of classes of prompts: a has a record in an evaluation split, b one in train; a = b included."""
-    once = p.mapInArrow(first_of("class", "train"), _DDL)
+    once = p.where(F.size("keys") > 0)
     sides = once.select("class", "train").distinct()
     classes = once.select("class", "words").distinct()
     posts = lambda train: once.where(F.col("train") == train).select(F.explode("keys").alias("key"), "class", "size", "print").distinct()
