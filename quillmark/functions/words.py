@@ -15,7 +15,7 @@ import unicodedata
 import xxhash
 
 # Invisible characters: zero-width ones, soft hyphen, marks of direction, byte order mark.
-_INVISIBLE = dict.fromkeys([0x00AD, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF])
+_INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
@@ -26,7 +26,7 @@ def plain(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     return text.lower()
 
 
