@@ -29,6 +29,8 @@ UNDERFULL = 0.97
 ROUNDS = 3
 #: Partners that an exchange is tried with, the fullest first; a bound on effort, not on the items.
 _TRIES = 64
+#: Times that all underfull containers of a shard are tried while something still changes.
+_ROUNDS = 8
 
 
 def vocabulary() -> str:
@@ -91,10 +93,16 @@ def pack(items: list[int], capacity: int) -> list[list[int]]:
             bisect.insort(gaps, (capacity - new, b))
 
     stuck: set[int] = set()
+    empty: set[int] = set()
+    fresh = False  # whether something changed since all containers were last tried
+    rounds = 0
     while True:
         low = next((g for g in reversed(gaps) if g[1] not in stuck), None)
         if low is None:
-            break
+            if not fresh or rounds == _ROUNDS:
+                break
+            stuck, fresh, rounds = set(empty), False, rounds + 1
+            continue
         source = low[1]
         changed = False
         for i in sorted(bins[source], key=lambda k: -items[k]):
@@ -143,7 +151,11 @@ def pack(items: list[int], capacity: int) -> list[list[int]]:
         if not bins[source]:
             gaps.pop(bisect.bisect_left(gaps, (capacity - fill[source], source)))
             stuck.add(source)
-        elif not changed:
+            empty.add(source)
+            fresh = True
+        elif changed:
+            fresh = True
+        else:
             stuck.add(source)
     return [b for b in bins if b]
 

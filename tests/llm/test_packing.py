@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,10 +16,16 @@ def test_kernel_keeps_all_items_within_capacity(sizes):
     assert all(sum(sizes[i] for i in b) <= 50 for b in got)
 
 
-def test_swaps_beat_best_fit():
-    # Largest first leaves 6+3 | 6+3 | 4+4+... with room 10; exchanges close the gaps.
-    sizes = [6, 6, 4, 4, 3, 3, 2, 2] * 8
-    assert len(packing.pack(sizes, 10)) == sum(sizes) // 10
+def test_near_the_least_possible():
+    rng = random.Random(1)
+    for capacity in (64, 256):
+        sizes = [rng.randint(1, capacity // 2) for _ in range(500)]
+        assert len(packing.pack(sizes, capacity)) <= -(-sum(sizes) // capacity) + 1
+
+
+def test_an_emptied_container_goes():
+    # Largest first leaves [6, 3], [5, 4] and [2]; moving and exchanging leaves two containers of ten.
+    assert len(packing.pack([6, 5, 4, 3, 2], 10)) == 2
 
 
 def test_containers(spark):
