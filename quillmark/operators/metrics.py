@@ -35,6 +35,7 @@ def round_robin(scored: DataFrame, key: str) -> DataFrame:
     ``scored`` has key, pos and value. The sum over the others of (own - other) needs only the item's sum and count, so no
     pairs are made. Items with one response score 0.
     """
+    scored = scored.select(key, "pos", "value")
     of = scored.groupBy(key).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
     one = F.when(F.col("n") > 1, (F.col("n") * F.col("value") - F.col("total")) / (F.col("n") - 1)).otherwise(0.0)
     return scored.join(of, key).select(key, "pos", one.alias("score"))

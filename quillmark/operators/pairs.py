@@ -70,7 +70,7 @@ def decide(pairs: DataFrame, by_margin: DataFrame) -> DataFrame:
         "record_idx", "language", "domain", "gold_side", F.coalesce("n_rubrics", F.lit(0).cast("long")).alias("n_rubrics"), "margin", F.coalesce("vote", F.lit(0).cast("long")).alias("vote"), "direct",
         F.when(clear & (F.col("margin") > 0), "A").when(clear, "B").otherwise(F.col("direct")).alias("side"),
         F.when(clear, "margin").otherwise("direct").alias("source"),
-    ).withColumn("correct", F.col("side") == F.col("gold_side")).withColumn("gold_margin", F.when(F.col("gold_side") == "B", -F.col("margin")).otherwise(F.col("margin")))
+    ).withColumn("correct", F.col("side") == F.col("gold_side")).withColumn("gold_margin", F.when(F.col("gold_side") == "B", 0.0 - F.col("margin")).otherwise(F.col("margin")))
 
 
 def low_evidence(decisions: DataFrame, most: int = 2) -> DataFrame:

@@ -19,14 +19,12 @@ def sparsemax(logits: DataFrame, key: str, pos: str, z: str) -> DataFrame:
     One shuffle by key: sort, running sum, support and threshold are windows over the same partitioning. Null logits are
     dropped.
     """
-    by = W.partitionBy(key).orderBy(F.desc(z), pos)
-    rows = logits.where(F.col(z).isNotNull()).withColumns({"k": F.row_number().over(by), "c": F.sum(z).over(by.rowsBetween(W.unboundedPreceding, 0)) - 1.0})
-    inside = F.col(z) * F.col("k") > F.col("c")
-    every = W.partitionBy(key)
-    n = F.max(F.when(inside, F.col("k"))).over(every)
-    rows = rows.withColumn("n", n)
-    tau = F.max(F.when(F.col("k") == F.col("n"), F.col("c") / F.col("k"))).over(every)
-    return rows.withColumn("tau", tau).select(key, pos, F.greatest(F.col(z) - F.col("tau"), F.lit(0.0)).alias("alpha"))
+    rows = logits.where(F.col(z).isNotNull()).select(F.col(key).alias("_key"), F.col(pos).alias("_pos"), F.col(z).alias("_z"))
+    by, every = W.partitionBy("_key").orderBy(F.desc("_z"), "_pos"), W.partitionBy("_key")
+    rows = rows.withColumns({"_k": F.row_number().over(by), "_c": F.sum("_z").over(by.rowsBetween(W.unboundedPreceding, 0)) - 1.0})
+    rows = rows.withColumn("_n", F.max(F.when(F.col("_z") * F.col("_k") > F.col("_c"), F.col("_k"))).over(every))
+    rows = rows.withColumn("_tau", F.max(F.when(F.col("_k") == F.col("_n"), F.col("_c") / F.col("_k"))).over(every))
+    return rows.select(F.col("_key").alias(key), F.col("_pos").alias(pos), F.greatest(F.col("_z") - F.col("_tau"), F.lit(0.0)).alias("alpha"))
 
 
 def top(df: DataFrame, key: str, score: Column, tie: str, k: int) -> DataFrame:

@@ -181,7 +181,7 @@ def hard_negative_argmax(spark: SparkSession, where: str) -> DataFrame:
 count(*) filter (where margin is not null and side = gold_side)::bigint as correct,
 round(count(*) filter (where margin is not null and side = gold_side)::double / nullif(count(margin), 0), 6) as accuracy,
 round(count(*) filter (where abs(margin) <= {P.TIE})::double / nullif(count(margin), 0), 6) as tie_rate,
-round(sum(case gold_side when 'B' then -margin else margin end) / nullif(count(margin), 0), 6) as avg_margin from decided group by 1""")
+round(sum(case gold_side when 'B' then 0.0 - margin else margin end) / nullif(count(margin), 0), 6) as avg_margin from decided group by 1""")
 def summary_by_domain(spark: SparkSession, where: str) -> DataFrame:
     from quillmark.operators.metrics import summarize
 

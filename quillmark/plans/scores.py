@@ -60,7 +60,7 @@ def tfidf_topk(spark: SparkSession, where: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"), "rn")
 
 
-_HARD = """hard as (select record_idx, case gold_side when 'B' then -margin else margin end as gold_margin, side = gold_side as correct from decided)"""
+_HARD = """hard as (select record_idx, case gold_side when 'B' then 0.0 - margin else margin end as gold_margin, side = gold_side as correct from decided)"""
 
 
 @query(f"""with {DECIDED}, {_HARD} select record_idx, round(gold_margin, 6) as gold_margin, correct from hard
