@@ -33,3 +33,9 @@ def parallelism(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{where}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a few small files would leave most idle; larger inputs are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
