@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.words import words
-from quillmark.session import durable, parallelism
+from quillmark.session import durable, parallelism, spread
 
 _LABEL_MAX = 40
 
@@ -143,7 +143,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _runs(df: DataFrame) -> DataFrame:
     """(scope, kept_id, copy_id) for every row with a key, the kept row included, from df(scope, id, text)."""
-    keyed = df.select("scope", F.col("id").cast("long").alias("id"), "text").mapInPandas(_keys, "scope string, key string, id long").where("key is not null")
+    keyed = spread(df.select("scope", F.col("id").cast("long").alias("id"), "text")).mapInPandas(_keys, "scope string, key string, id long").where("key is not null")
     ordered = keyed.repartitionByRange(parallelism(df.sparkSession), "scope", "key", "id").sortWithinPartitions("scope", "key", "id")
     rows = durable(ordered.mapInPandas(_scan, "scope string, kept_id long, copy_id long, edge binary"))
     # At most two digests a partition, and one for each run of more than 100,000 rows: a small join in any case.

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.words import words
+from quillmark.session import spread
 
 RUN = 12
 #: Words of own sentences in one shard of the index, some 100 bytes each once built.
@@ -208,7 +209,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, shard_words: i
     total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(total / shard_words))
     texts = documents.where("text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    # Reading is cheap and the search is not: spread the rows of a few input splits over all tasks.
+    texts = spread(texts)
     result = None
     for k in range(shards):
         rows = own.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).select("id", "pos", "sentence").collect()  # about shard_words words

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.session import durable
+from quillmark.session import durable, spread
 
 #: Items of a shard on average; what one task packs at once.
 SHARD_ITEMS = 4096
@@ -64,7 +64,7 @@ def _sizes(path: str):
 def sizes(df: DataFrame, path: str | None = None) -> DataFrame:
     """(id, tokens) of df(id BIGINT, text STRING); null texts have no row, empty ones 0 tokens."""
     texts = df.where("text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    return texts.mapInPandas(_sizes(path or vocabulary()), "id long, tokens long")
+    return spread(texts).mapInPandas(_sizes(path or vocabulary()), "id long, tokens long")
 
 
 def pack(items: list[int], capacity: int) -> list[list[int]]:

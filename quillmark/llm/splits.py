@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.words import Codes, is_number, words
-from quillmark.session import durable
+from quillmark.session import durable, spread
 
 _BITS = 32  # of a block
 #: Classes that a task remembers, to give the keys of a copy no second time; forgotten when full.
@@ -110,7 +110,7 @@ def _prints(overlap: float):
 def prints(df: DataFrame, overlap: float = 0.75) -> DataFrame:
     """Fingerprints of df(id BIGINT, split STRING, text STRING). Texts without words, null ones among them, have none."""
     texts = df.where("text is not null and split is not null").select(F.col("id").cast("long").alias("id"), (F.col("split") == "train").alias("train"), "text")
-    return texts.mapInArrow(_prints(overlap), _DDL).persist(StorageLevel.MEMORY_AND_DISK)
+    return spread(texts).mapInArrow(_prints(overlap), _DDL).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def class_pairs(p: DataFrame, overlap: float) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.words import words
 from quillmark.llm import endings
+from quillmark.session import spread
 
 #: Log-odds under which a value is cut, where ``thresholds`` has none for its language and column.
 THRESHOLD = -1.5
@@ -61,7 +62,7 @@ def truncated(df: DataFrame, thresholds: Mapping[tuple[str, str], float] | None
     null where the end of the text decides by itself. Empty texts are whole. Rows may repeat ids; each is judged by itself.
     """
     texts = df.where("text is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("column", F.lit("")).alias("column"), language_tag(F.col("lang")).alias("lang"), "text")
-    judged = texts.mapInPandas(_judge, "id long, column string, lang string, class binary, verdict string, core string")
+    judged = spread(texts).mapInPandas(_judge, "id long, column string, lang string, class binary, verdict string, core string")
     odds = endings.log_odds(judged.select("class", "core", (F.col("verdict") == "open").alias("open")))
     limit = F.lit(float(default))
     if thresholds:
