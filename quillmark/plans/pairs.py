@@ -136,6 +136,15 @@ def redundancy_guard(spark: SparkSession, where: str) -> DataFrame:
     return P.guarded(_decided(spark, where), P.facet_votes(compared)).select("record_idx", "flipped", "side")
 
 
+@query(f"""with {COMPARED}, steps as (select record_idx, row_number() over o as k, sum(weight * delta) over (o rows unbounded preceding) / sum(weight) over (o rows unbounded preceding) as margin,
+  count(*) over (partition by record_idx) as n from compared window o as (partition by record_idx order by weight desc, rubric_id)),
+tried as (select * from steps where k <= 64 and (k >= 3 or k = n)),
+best as (select record_idx, coalesce(min(k) filter (where abs(margin) > {P.TIE}), max(k)) as k from tried group by 1)
+select record_idx, k::int as k, round(margin, 6) as margin, case when margin > {P.TIE} then 'A' when margin < -{P.TIE} then 'B' end as side from best join tried using (record_idx, k)""")
+def escalated_decisions(spark: SparkSession, where: str) -> DataFrame:
+    return P.escalated(_compared(spark, where)).select("record_idx", "k", F.round("margin", 6).alias("margin"), "side")
+
+
 @query("""select case when overall_preference is null or isnan(overall_preference) then 'missing' when overall_preference = 0 then 'neutral'
 when overall_preference > 0 then 'second' else 'first' end as form, count(*)::bigint as n from preferences group by 1""")
 def preference_forms(spark: SparkSession, where: str) -> DataFrame:

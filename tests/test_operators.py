@@ -255,3 +255,16 @@ def test_metrics_blocks(spark):
     one = spark.createDataFrame([("i", 0.5, [0.1, 0.5]), ("j", 0.9, [0.2]), ("n", 1.0, [])], "item string, chosen double, rejected array<double>")
     assert [r[:4] for r in rows(metrics.best_of_n(one, "item"))] == [("i", False, 2, 1), ("j", True, 1, 1)]
     assert json.dumps(1) and pytest
+
+
+def test_requests(spark):
+    from quillmark.operators import requests
+
+    df = spark.createDataFrame([("q", "one", None, ["c1", "c2"])], "prompt_text string, response_a string, response_b string, rubrics array<string>")
+    text = df.select(requests.pairwise_prompt(F.col("rubrics"))).first()[0]
+    assert "1. c1\n2. c2" in text and "## Reply B\n(none)" in text
+    assert "<EVALUATION>" in df.select(requests.response_prompt(F.lit("c"), F.col("response_a"))).first()[0]
+    fan = requests.fan_out(spark.createDataFrame([("x",)], "case_id string"), ["m1", "m2"], 2)
+    assert rows(fan) == [("x", "m1", 0), ("x", "m1", 1), ("x", "m2", 2), ("x", "m2", 3)]
+    replies = spark.createDataFrame([("k", "<RUBRIC>States the exact total of the bill</RUBRIC><RUBRIC>Refers to the</RUBRIC>"), ("e", None)], "key string, reply string")
+    assert rows(requests.proposed(replies)) == [("k", 0, "States the exact total of the bill")]
