@@ -143,7 +143,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _runs(df: DataFrame) -> DataFrame:
     """(scope, kept_id, copy_id) for every row with a key, the kept row included, from df(scope, id, text)."""
-    keyed = spread(df.select("scope", F.col("id").cast("long").alias("id"), "text")).mapInPandas(_keys, "scope string, key string, id long").where("key is not null")
+    keyed = spread(df.where("id is not null and scope is not null").select("scope", F.col("id").cast("long").alias("id"), "text")).mapInPandas(_keys, "scope string, key string, id long").where("key is not null")
     ordered = keyed.repartitionByRange(parallelism(df.sparkSession), "scope", "key", "id").sortWithinPartitions("scope", "key", "id")
     rows = durable(ordered.mapInPandas(_scan, "scope string, kept_id long, copy_id long, edge binary"))
     # At most two digests a partition, and one for each run of more than 100,000 rows: a small join in any case.
@@ -154,7 +154,7 @@ def _runs(df: DataFrame) -> DataFrame:
 def copies(df: DataFrame) -> DataFrame:
     """One row (scope, kept_id, copy_id) for each record that repeats another, from df(scope STRING, id BIGINT, text STRING).
 
-    kept_id is the smallest id of the group. Null texts belong to no group. Texts without letters and digits form one
+    kept_id is the smallest id of the group. Null texts belong to no group, nor do rows with a null id or scope. Texts without letters and digits form one
     group. Rows that repeat an id are told apart only by that id, and give no row with kept_id = copy_id. Other columns
     of ``df`` are ignored. An empty input gives an empty result.
     """

@@ -70,7 +70,7 @@ def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def own_sentences(items: DataFrame) -> DataFrame:
     """(id, pos, sentence) for the sentences of items(id BIGINT, text STRING) that no other item holds; sentence: its words."""
-    each = items.where("text is not null").select(F.col("id").cast("long").alias("id"), "text").mapInPandas(_sentences, "id long, pos int, sentence string")
+    each = items.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text").mapInPandas(_sentences, "id long, pos int, sentence string")
     shared = each.groupBy("sentence").agg(F.count_distinct("id").alias("n")).where("n > 1").select("sentence")
     return each.join(shared, "sentence", "left_anti").select("id", "pos", "sentence")
 
@@ -201,14 +201,14 @@ def _search(held):
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Pairs (doc_id, item_id) of documents(id, text) that hold passages of items(id, text).
 
-    Null and empty texts leak nothing. Rows that repeat an id are joined to one pair. Without items the result is empty.
+    Null and empty texts leak nothing, and rows with a null id are left out. Rows that repeat an id are joined to one pair. Without items the result is empty.
     Other columns are ignored.
     """
     spark = documents.sparkSession
     own = own_sentences(items).withColumn("n", F.size(F.split("sentence", " ")))
     total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(total / shard_words))
-    texts = documents.where("text is not null").select(F.col("id").cast("long").alias("id"), "text")
+    texts = documents.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
     texts = spread(texts)
     result = None
     for k in range(shards):

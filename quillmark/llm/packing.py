@@ -62,8 +62,8 @@ def _sizes(path: str):
 
 
 def sizes(df: DataFrame, path: str | None = None) -> DataFrame:
-    """(id, tokens) of df(id BIGINT, text STRING); null texts have no row, empty ones 0 tokens."""
-    texts = df.where("text is not null").select(F.col("id").cast("long").alias("id"), "text")
+    """(id, tokens) of df(id BIGINT, text STRING); null texts and ids have no row, empty texts 0 tokens."""
+    texts = df.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
     return spread(texts).mapInPandas(_sizes(path or vocabulary()), "id long, tokens long")
 
 

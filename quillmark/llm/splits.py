@@ -109,7 +109,7 @@ def _prints(overlap: float):
 
 def prints(df: DataFrame, overlap: float = 0.75) -> DataFrame:
     """Fingerprints of df(id BIGINT, split STRING, text STRING). Texts without words, null ones among them, have none."""
-    texts = df.where("text is not null and split is not null").select(F.col("id").cast("long").alias("id"), (F.col("split") == "train").alias("train"), "text")
+    texts = df.where("id is not null and text is not null and split is not null").select(F.col("id").cast("long").alias("id"), (F.col("split") == "train").alias("train"), "text")
     return spread(texts).mapInArrow(_prints(overlap), _DDL).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -133,8 +133,8 @@ def class_pairs(p: DataFrame, overlap: float) -> DataFrame:
 def overlaps(df: DataFrame, overlap: float = 0.75) -> DataFrame:
     """Pairs (record_idx_a, record_idx_b), a < b, of one record in train and one in another split that overlap.
 
-    ``df`` has id BIGINT, split STRING and text STRING; other columns are ignored. Rows with a null split or without words
-    are in no pair; a repeated id counts as one record unless it stands in both kinds of split, where it gives no pair
+    ``df`` has id BIGINT, split STRING and text STRING; other columns are ignored. Rows with a null id or split or without
+    words are in no pair; a repeated id counts as one record unless it stands in both kinds of split, where it gives no pair
     with itself.
     """
     p = prints(df, overlap)

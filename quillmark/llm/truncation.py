@@ -59,9 +59,9 @@ def truncated(df: DataFrame, thresholds: Mapping[tuple[str, str], float] | None
     """One row (id, column, lang, log_odds, cut) for each non-null text of df(id BIGINT, column STRING, lang STRING, text STRING).
 
     ``column`` names the field or source a value comes from; ``thresholds`` maps (language, column) to log-odds. log_odds is
-    null where the end of the text decides by itself. Empty texts are whole. Rows may repeat ids; each is judged by itself.
+    null where the end of the text decides by itself. Empty texts are whole; rows with a null id are left out. Rows may repeat ids; each is judged by itself.
     """
-    texts = df.where("text is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("column", F.lit("")).alias("column"), language_tag(F.col("lang")).alias("lang"), "text")
+    texts = df.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("column", F.lit("")).alias("column"), language_tag(F.col("lang")).alias("lang"), "text")
     judged = spread(texts).mapInPandas(_judge, "id long, column string, lang string, class binary, verdict string, core string")
     odds = endings.log_odds(judged.select("class", "core", (F.col("verdict") == "open").alias("open")))
     limit = F.lit(float(default))
