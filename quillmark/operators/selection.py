@@ -43,12 +43,12 @@ def terms(df: DataFrame) -> DataFrame:
 def tfidf(df: DataFrame, features: int = 4096) -> DataFrame:
     """(id, term, weight): L2-normalised tf * (ln((1 + n) / (1 + df)) + 1) over the ``features`` most frequent terms.
 
-    n counts the texts that are not null. The vocabulary is bounded by ``features``, so it is broadcast.
+    n counts the texts that are not null. The vocabulary has at most ``features`` rows; Spark broadcasts it if it is small.
     """
     tf = terms(df)
     n = df.where("text is not null").count()
     vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
-    raw = tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    raw = tf.join(vocabulary, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -187,12 +187,12 @@ select record_idx, bank_id, round(n::double / len(s), 6) as overlap, rn::int as
 def prompt_bank_topk(spark: SparkSession, where: str) -> DataFrame:
     """The four entries of a bank of at most 1,024 whose tokens a prompt holds most of, the larger id of equals first.
 
-    The bank is bounded and broadcast as one row per token; a prompt's overlaps never leave its task before the top four.
+    The bank is bounded, so Spark will broadcast its tokens if they are small; overlaps are counted before the shuffle.
     """
     bank = table(spark, where, "bank_entries").where("text is not null").orderBy(F.desc_nulls_last("observed_count"), "bank_id").limit(1024)
     words = bank.select(F.col("bank_id").cast("long").alias("bank_id"), T.tokens("text").alias("s")).select("bank_id", F.size("s").alias("size"), F.explode("s").alias("w"))
     asked = table(spark, where, "preferences").where("prompt_text is not null").select("record_idx", F.explode(T.tokens("prompt_text")).alias("w"))
-    n = asked.join(F.broadcast(words), "w").groupBy("record_idx", "bank_id").agg(F.count("*").alias("n"), F.first("size").alias("size")).withColumn("overlap", F.col("n") / F.col("size")).withColumn("neg", -F.col("bank_id"))
+    n = asked.join(words, "w").groupBy("record_idx", "bank_id").agg(F.count("*").alias("n"), F.first("size").alias("size")).withColumn("overlap", F.col("n") / F.col("size")).withColumn("neg", -F.col("bank_id"))
     return S.top(n, "record_idx", F.col("overlap"), "neg", 4).select("record_idx", "bank_id", F.round("overlap", 6).alias("overlap"), "rn")
 
 

@@ -215,6 +215,8 @@ def gap_closed(spark: SparkSession, where: str) -> DataFrame:
     by = compared.groupBy("record_idx", "rubric_source").agg(margin).join(gold, "record_idx").groupBy("rubric_source").agg(F.avg(right.cast("int")).alias("acc"))
     ends = by.agg(F.max(F.when(F.col("rubric_source") == "self", F.col("acc"))).alias("s"), F.max(F.when(F.col("rubric_source") == "human", F.col("acc"))).alias("r"))
     learned = _decided(spark, where).agg(F.avg(((F.coalesce(F.abs("margin"), F.lit(0.0)) > P.TIE) & F.col("correct")).cast("int")).alias("l"))
-    both = ends.join(learned)  # one row each
+    none = F.lit(None).cast("double")
+    rows = ends.select("s", "r", none.alias("l")).unionAll(learned.select(none, none, "l"))  # one row each
+    both = rows.agg(F.max("s").alias("s"), F.max("r").alias("r"), F.max("l").alias("l"))
     gap = F.when(F.abs(F.col("r") - F.col("s")) > 1e-6, F.round((F.col("l") - F.col("s")) / (F.col("r") - F.col("s")), 6))
     return both.select(F.round("s", 6).alias("self_accuracy"), F.round("l", 6).alias("learned_accuracy"), F.round("r", 6).alias("reference_accuracy"), gap.alias("gap_closed"))
