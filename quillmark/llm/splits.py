@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.words import Codes, is_number, words
+from quillmark.llm.filters import only
 from quillmark.session import durable, spread
 
 _BITS = 32  # of a block
@@ -117,12 +118,16 @@ def class_pairs(p: DataFrame, overlap: float) -> DataFrame:
     """Pairs (a, b) of classes of prompts: a has a record in an evaluation split, b one in train; a = b included."""
     once = p.where(F.size("keys") > 0)
     sides = once.select("class", "train").distinct()
-    classes = once.select("class", "words").distinct()
-    posts = lambda train: once.where(F.col("train") == train).select(F.explode("keys").alias("key"), "class", "size", "print").distinct()
+    key = F.explode("keys").alias("key")
+    # Blocks that both kinds of split hold; the rest needs no shuffle of its own.
+    met_in = once.select(key, "train").groupBy("key").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e"))
+    live = durable(met_in.where("t and e").select("key"))
+    posts = lambda train: only(once.where(F.col("train") == train).select(key, "class", "size", "print"), "key", live).distinct()
     left = posts(False).withColumnsRenamed({"class": "a", "size": "n_a", "print": "p_a"})
     right = posts(True).withColumnsRenamed({"class": "b", "size": "n_b", "print": "p_b"})
     far = F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - overlap) / (1 + overlap)) + F.lit(1e-9))
-    met = left.join(right, "key").where("a <> b").where(F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= far).select("a", "b").distinct()
+    met = durable(left.join(right, "key").where("a <> b").where(F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= far).select("a", "b").distinct())
+    classes = only(once.select("class", "words"), "class", met.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
     own = lambda s: classes.select(F.col("class").alias(s), F.col("words").alias(f"w_{s}"))
     shared = F.size(F.array_intersect("w_a", "w_b"))
     sure = met.join(own("a"), "a").join(own("b"), "b").withColumn("n", shared).where(F.col("n") >= F.lit(overlap) * (F.size("w_a") + F.size("w_b") - F.col("n")) - F.lit(1e-9))
