@@ -55,11 +55,11 @@ def _documents(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, where: str) -> DataFrame:
-    return truncation.truncated(_documents(spark, where)).where("cut").select(F.col("id").alias("doc_id"))
+    return truncation.truncated(_documents(spark, where), learn=True).where("cut").select(F.col("id").alias("doc_id"))
 
 
 def p8_source_rates(spark: SparkSession, where: str) -> DataFrame:
-    return truncation.rates(_documents(spark, where)).withColumnRenamed("column", "source")
+    return truncation.rates(_documents(spark, where), learn=True).withColumnRenamed("column", "source")
 
 
 def _texts(spark: SparkSession, where: str) -> DataFrame:

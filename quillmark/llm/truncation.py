@@ -2,15 +2,22 @@
 
 Method: the backward character n-gram model of ``endings`` compares, for the final context of each value, an end with a
 continuation; a value is cut if the log-odds lie below the threshold of its language and column. Broken bytes, escapes,
-entities and tags at the end, and a code block that was not closed, show a cut without the model.
+entities and tags at the end, and a code block, bracket, quotation or code span that was not closed, show a cut without the
+model.
+
+Thresholds are learned from ends that are none of a cut: one sentence or line end inside each text is scored as if the text
+stopped there without its mark. The share of all of them under the default threshold is the share of whole texts that it
+takes for cut ones; each language and column gets the log-odds that has the same share of its own inner ends under it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +29,9 @@ from quillmark.session import spread
 THRESHOLD = -1.5
 #: Values of fewer words are titles and marks, not sentences.
 LEAST_WORDS = 4
+#: Inner ends that a language and column must have, in all and under its threshold, for a threshold of its own.
+SUPPORT, SUPPORT_UNDER = 100, 5
+_INNER_END = re.compile(r"[.!?](?=\s)|[。！？؟।]|\n")
 _AFTER_CLOSING = "\"'”’»)]}*_`」』）】 "
 
 
@@ -36,7 +46,7 @@ def verdict(text: str) -> tuple[str, str]:
     core, trace = endings.strip_trace(text)
     if endings.open_fence(text):
         return "cut", core
-    if trace == "hard" and words(core):
+    if (trace == "hard" or endings.open_delimiter(core)) and words(core):
         return "cut", core
     bare = core.rstrip(_AFTER_CLOSING)
     if not bare or bare[-1] in endings.CLOSING or (trace is None and len(words(core)) < LEAST_WORDS and not any("一" <= c <= "鿿" for c in core)):
@@ -55,16 +65,59 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def truncated(df: DataFrame, thresholds: Mapping[tuple[str, str], float] | None = None, default: float = THRESHOLD) -> DataFrame:
+def inner_end(core: str, digest: bytes) -> str | None:
+    """``core`` up to one of its inner ends, without the mark; which one depends on the digest alone."""
+    ends = [m.start() for m in _INNER_END.finditer(core, 0, max(0, len(core) - 1))]
+    if not ends:
+        return None
+    before = core[: ends[int.from_bytes(digest[:8], "big") % len(ends)]]
+    # Only where the model sees an end too: right behind a word, not behind a blank, a quotation mark or another mark.
+    if not before or before[-1].isspace() or before[-1] in _AFTER_CLOSING + endings.CLOSING or (len(words(before[-400:])) < LEAST_WORDS and not any("一" <= c <= "鿿" for c in before)):
+        return None
+    return before
+
+
+def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(column, lang, class, keys, within) of one inner end of each text."""
+    for b in batches:
+        got = []
+        for column, lang, text in zip(b["column"], b["lang"], b["text"], strict=True):
+            core, _ = endings.strip_trace(text)
+            digest = hashlib.blake2b(core.encode("utf-8", "surrogatepass"), digest_size=16, person=b"inner").digest()
+            if before := inner_end(core, digest):
+                got.append((column, lang, digest, before))
+        if got:
+            keys = endings.final_keys([x[3] for x in got])
+            yield pd.DataFrame({"column": [x[0] for x in got], "lang": [x[1] for x in got], "class": [x[2] for x in got], "keys": [k for k, _ in keys], "within": [w for _, w in keys]})
+
+
+def _learned(inner: DataFrame, odds: DataFrame, default: float) -> DataFrame:
+    """(lang, column, own) of the keys with enough inner ends; log-odds are rounded, so that a key has few distinct ones."""
+    scored = inner.select("lang", "column", "class").distinct().join(odds.where("log_odds is not null"), "class").select("lang", "column", F.round("log_odds", 2).alias("x"))
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    share = scored.agg(F.avg((F.col("x") < default).cast("int")).alias("share")).first()["share"] or 0.0
+    limits = scored.groupBy("lang", "column").agg(F.percentile("x", F.lit(share)).alias("own"), F.count("*").alias("n"))
+    return limits.where((F.col("n") >= SUPPORT) & (F.col("n") * F.lit(share) >= SUPPORT_UNDER)).select("lang", "column", F.least("own", F.lit(0.0)).alias("own"))
+
+
+def truncated(df: DataFrame, thresholds: Mapping[tuple[str, str], float] | None = None, default: float = THRESHOLD, learn: bool = False) -> DataFrame:
     """One row (id, column, lang, log_odds, cut) for each non-null text of df(id BIGINT, column STRING, lang STRING, text STRING).
 
-    ``column`` names the field or source a value comes from; ``thresholds`` maps (language, column) to log-odds. log_odds is
+    ``column`` names the field or source a value comes from; ``thresholds`` maps (language, column) to log-odds; with ``learn``
+    keys that it lacks get a threshold of their own from the inner ends of their texts, if these suffice. log_odds is
     null where the end of the text decides by itself. Empty texts are whole; rows with a null id are left out. Rows may repeat ids; each is judged by itself.
     """
     texts = df.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("column", F.lit("")).alias("column"), language_tag(F.col("lang")).alias("lang"), "text")
     judged = spread(texts).mapInPandas(_judge, "id long, column string, lang string, class binary, verdict string, core string")
-    odds = endings.log_odds(judged.select("class", "core", (F.col("verdict") == "open").alias("open")))
+    scored = judged.select("class", "core", (F.col("verdict") == "open").alias("open"))
     limit = F.lit(float(default))
+    if learn:
+        inner = spread(texts).mapInPandas(_inner, "column string, lang string, class binary, keys array<long>, within array<long>")
+        odds = endings.log_odds(scored, inner.select("class", "keys", "within")).persist(StorageLevel.MEMORY_AND_DISK)
+        limit = F.coalesce("own", limit)
+        judged = judged.join(_learned(inner, odds, default), ["lang", "column"], "left")
+    else:
+        odds = endings.log_odds(scored)
     if thresholds:
         table = F.create_map(*(F.lit(x) for (lang, column), v in thresholds.items() for x in (f"{lang}\x1f{column}", float(v))))
         limit = F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", "lang", "column")), limit)

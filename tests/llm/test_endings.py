@@ -57,3 +57,26 @@ def test_cut_and_whole(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, column string, lang string, text string")
     assert rows(truncation.truncated(df)) == [] and rows(truncation.rates(df)) == []
+
+
+def test_unclosed_delimiters():
+    for cut in ("The margin (see the ledger of May.", 'She asked: "Who has read the report?', "Call `close(table) and then read the report.", "他说「报告已经看过了。", "The value [1, 2 is in the report."):
+        assert truncation.verdict(cut)[0] == "cut", cut
+    for whole in ("The margin (see the ledger) is low.", 'He said "no" twice.', "A pipe of 5\" is enough for this.", "Use `close(` to end the call.", "Choose a) or b) today.", "x lies in [0, 1) here.", "That was a bad day :(", "“First part.\n\n“Last part.”", "```\nf(\n```\nThat is all there is."):
+        assert truncation.verdict(whole)[0] != "cut", whole
+
+
+def test_thresholds_by_language_and_column(spark):
+    odds = {("en", "notes"): [-3.0] * 12 + [4.0] * 188, ("en", "tables"): [-9.0] * 12 + [4.0] * 188, ("de", "notes"): [4.0] * 200, ("zh", "few"): [-9.0] * 5}
+    inner = spark.createDataFrame([(lang, column, f"{lang}{column}{i}") for (lang, column), v in odds.items() for i in range(len(v))], "lang string, column string, class string")
+    scored = spark.createDataFrame([(f"{lang}{column}{i}", x) for (lang, column), v in odds.items() for i, x in enumerate(v)], "class string, log_odds double")
+    got = {(lang, column): own for lang, column, own in rows(truncation._learned(inner, scored, -1.5))}
+    assert got[("en", "tables")] < got[("en", "notes")] < -1.5 < got[("de", "notes")] == 0.0 and ("zh", "few") not in got
+
+
+def test_learned_thresholds_keep_cuts(spark):
+    whole, cut = corpus()
+    df = spark.createDataFrame([(i, "src", "en", t) for i, t in whole + cut], "id long, column string, lang string, text string")
+    got = {r["id"]: r["cut"] for r in truncation.truncated(df, learn=True).collect()}
+    assert len(got) == len(whole) + len(cut)
+    assert sum(got[i] for i, _ in cut) >= 0.95 * len(cut) and sum(got[i] for i, _ in whole) <= 0.02 * len(whole)
