@@ -99,11 +99,11 @@ def guarded(decisions: DataFrame, votes: DataFrame) -> DataFrame:
     return v.withColumns({"flipped": F.coalesce(against, F.lit(False)), "side": side}).withColumn("correct", F.col("side") == F.col("gold_side"))
 
 
-def escalated(compared: DataFrame, start: int = 3, most: int = 64) -> DataFrame:
+def escalated(compared: DataFrame, start: int = 3, most: int | None = None) -> DataFrame:
     """(record_idx, k, margin, side): each pair decided by the fewest of its heaviest rubrics, ``start`` or more, that decide.
 
     The margins over the first k rubrics are running sums in one window, so no pair is judged again for a larger k. Pairs
-    that no k up to ``most`` decides have their last k and a null side; a pair of fewer rubrics than ``start`` is tried once.
+    that no k up to ``most`` (all rubrics if None) decides have their last k and a null side; a pair of fewer rubrics than ``start`` is tried once.
     """
     from pyspark.sql import Window as W
 
@@ -111,7 +111,7 @@ def escalated(compared: DataFrame, start: int = 3, most: int = 64) -> DataFrame:
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
     n = F.count("*").over(W.partitionBy("record_idx"))
     steps = compared.select("record_idx", F.row_number().over(order).alias("k"), (F.sum(F.col("weight") * F.col("delta")).over(so_far) / F.sum("weight").over(so_far)).alias("margin"), n.alias("n"))
-    tried = steps.where((F.col("k") <= most) & ((F.col("k") >= start) | (F.col("k") == F.col("n"))))
+    tried = steps.where((F.lit(True) if most is None else F.col("k") <= most) & ((F.col("k") >= start) | (F.col("k") == F.col("n"))))
     clear = F.abs("margin") > TIE
     best = F.min_by(F.struct("k", "margin"), F.when(clear, F.col("k")))
     last = F.max_by(F.struct("k", "margin"), "k")

@@ -18,21 +18,24 @@ def halves(c: Column) -> Column:
     return F.when(F.size(parts) == 2, parts).otherwise(F.array().cast("array<string>"))
 
 
-def refine(rubrics: DataFrame, responses: DataFrame, many: int = 2, depth: int = 3, rejects: int = 15, rounds: int = 200) -> DataFrame:
+def refine(rubrics: DataFrame, responses: DataFrame, many: int = 2, depth: int = 3, rejects: int = 15) -> DataFrame:
     """(case_id, ord, text, depth, yes) of the accepted rubrics of each case, in the order of acceptance.
 
     ``rubrics`` has case_id, pos, text; ``responses`` has case_id, text, strong BOOLEAN (null for neither). Each round takes
     the head of every case's queue: blank or seen before, rejected; no response satisfies it, rejected; more than ``many``
     do and it is not ``depth`` deep, its halves go to the back of the queue, or it is rejected if it has none; the weak
     reference satisfies it and the strong one doesn't, rejected; its tokens are those of an accepted one, rejected; else it
-    is accepted. A case stops at ``rejects`` rejections or an empty queue. State is one row per queued rubric and per case,
-    kept by checkpoints; a round is one pass over it.
+    is accepted. A case stops at ``rejects`` rejections or an empty queue, and rounds go on until all have stopped. State is
+    one row per queued, seen and accepted rubric and per case, kept by checkpoints; a round is one pass over it.
     """
     answers = responses.select("case_id", T.tokens("text").alias("t"), "strong")
     seen_key = F.lower(T.without_label("text"))
     queue = durable(rubrics.select("case_id", F.col("pos").cast("long").alias("ord"), "text", F.lit(0).alias("depth")))
-    cases = durable(queue.select("case_id").distinct().select("case_id", F.lit(0).alias("rejected"), F.lit(1_000_000_000).cast("long").alias("next"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<ord:long,text:string,depth:int,yes:long>>").alias("accepted")))
-    for _ in range(rounds):
+    cases = durable(queue.select("case_id").distinct().select("case_id", F.lit(0).alias("rejected"), F.lit(1_000_000_000).cast("long").alias("next"), F.lit(0).cast("long").alias("n")))
+    none = queue.limit(0)
+    seen = durable(none.select("case_id", F.col("text").alias("k"), F.lit(True).alias("again")))
+    accepted = durable(none.select("case_id", "ord", "text", "depth", F.col("ord").alias("yes"), F.col("text").alias("words"), F.lit(True).alias("same")))
+    while True:  # a queue ends: each step takes one from it, and halves are at most ``depth`` deep
         live = cases.where(F.col("rejected") < rejects).select("case_id")
         head = queue.join(live, "case_id", "left_semi").groupBy("case_id").agg(F.min(F.struct("ord", "text", "depth")).alias("h")).select("case_id", "h.*")
         head = durable(head)
@@ -40,25 +43,26 @@ def refine(rubrics: DataFrame, responses: DataFrame, many: int = 2, depth: int =
             break
         yes = share_of("t_r", "t") >= PASS
         votes = head.withColumn("t_r", T.tokens("text")).join(answers, "case_id").groupBy("case_id").agg(F.count_if(yes).alias("yes"), F.bool_or(F.col("strong") & yes).alias("strong_yes"), F.bool_or(~F.col("strong") & yes).alias("weak_yes"))
-        now = head.join(votes, "case_id", "left").join(cases, "case_id").withColumns({"k": seen_key, "parts": halves(F.col("text")), "yes": F.coalesce("yes", F.lit(0).cast("long"))})
-        repeated = (F.col("k") == "") | F.array_contains("seen", F.col("k"))
+        now = head.join(votes, "case_id", "left").join(cases, "case_id").withColumns({"k": seen_key, "words": F.concat_ws(" ", F.array_sort(T.tokens("text"))), "parts": halves(F.col("text")), "yes": F.coalesce("yes", F.lit(0).cast("long"))})
+        now = now.join(seen, ["case_id", "k"], "left").join(accepted.select("case_id", "words", "same"), ["case_id", "words"], "left")
+        repeated = (F.col("k") == "") | F.coalesce("again", F.lit(False))
         split = (F.col("yes") > many) & (F.col("depth") < depth)
         weak = F.coalesce(F.col("weak_yes") & ~F.coalesce("strong_yes", F.lit(False)), F.lit(False))
-        same = F.exists("accepted", lambda a: F.array_sort(T.tokens(a["text"])) == F.array_sort(T.tokens("text")))
+        same = F.coalesce("same", F.lit(False))
         action = F.when(repeated | (F.col("yes") == 0), "reject").when(split & (F.size("parts") > 0), "split").when(split | weak | same, "reject").otherwise("accept")
-        now = durable(now.withColumn("action", action))
+        now = durable(now.withColumns({"action": action, "repeated": repeated}))
         grown = now.where("action = 'split'").select("case_id", F.posexplode("parts").alias("i", "text"), (F.col("depth") + 1).alias("depth"), "next").select("case_id", (F.col("next") + F.col("i")).alias("ord"), "text", "depth")
         queue = durable(queue.join(head.select("case_id", "ord"), ["case_id", "ord"], "left_anti").unionByName(grown))
-        entry = F.struct(F.size("accepted").cast("long").alias("ord"), F.col("text").alias("text"), F.col("depth").alias("depth"), F.col("yes").alias("yes"))
+        seen = durable(seen.unionByName(now.where("not repeated").select("case_id", "k", F.lit(True).alias("again"))))
+        accepted = durable(accepted.unionByName(now.where("action = 'accept'").select("case_id", F.col("n").alias("ord"), "text", "depth", "yes", "words", F.lit(True).alias("same"))))
         step = now.select(
             "case_id",
             (F.col("rejected") + (F.col("action") == "reject").cast("int")).alias("rejected"),
             (F.col("next") + F.when(F.col("action") == "split", F.size("parts")).otherwise(0)).cast("long").alias("next"),
-            F.when(repeated, F.col("seen")).otherwise(F.array_append("seen", F.col("k"))).alias("seen"),
-            F.when(F.col("action") == "accept", F.array_append("accepted", entry)).otherwise(F.col("accepted")).alias("accepted"),
+            (F.col("n") + (F.col("action") == "accept").cast("long")).alias("n"),
         )
         cases = durable(cases.join(step.select("case_id"), "case_id", "left_anti").unionByName(step))
-    return cases.select("case_id", F.explode("accepted").alias("a")).select("case_id", "a.*")
+    return accepted.select("case_id", "ord", "text", "depth", "yes")
 
 
 def vote_rates(votes: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import json
 import math
@@ -268,3 +269,15 @@ def test_requests(spark):
     assert rows(fan) == [("x", "m1", 0), ("x", "m1", 1), ("x", "m2", 2), ("x", "m2", 3)]
     replies = spark.createDataFrame([("k", "<RUBRIC>States the exact total of the bill</RUBRIC><RUBRIC>Refers to the</RUBRIC>"), ("e", None)], "key string, reply string")
     assert rows(requests.proposed(replies)) == [("k", 0, "States the exact total of the bill")]
+
+
+def test_worklist_has_no_limit_of_rounds():
+    # A queue of over 200 rubrics would take minutes here.
+    assert "rounds" not in inspect.signature(worklist.refine).parameters and "range(" not in inspect.getsource(worklist.refine)
+
+
+def test_escalation_beyond_64(spark):
+    data = [("p", i, 1.0, 0.0) for i in range(70)] + [("p", 70, 0.9, 71.0)]
+    df = spark.createDataFrame(data, "record_idx string, rubric_id long, weight double, delta double")
+    assert rows(pairs.escalated(df).select("k", "side")) == [(71, "A")]
+    assert rows(pairs.escalated(df, most=64).select("k", "side")) == [(64, None)]
