@@ -1,23 +1,36 @@
-"""A filter of bounded size that spares rows the shuffle."""
+"""Semi-joins whose small side is sent whole only after its rows have been counted."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows of a filter that is broadcast, 8 bytes each.
-LIVE = 1 << 20
+#: Most rows of a table of keys that is broadcast, some 8 to 16 bytes each; beyond, the join shuffles by key.
+BROADCAST_ROWS = 1 << 20
 
 
-def _slot(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(LIVE)).alias("slot")
+def sized(small: DataFrame) -> DataFrame:
+    """The durable table ``small``, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
-def only(df: DataFrame, c: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``c`` may be in wanted(c), by hash slots: at most LIVE rows are broadcast.
+def only(df: DataFrame, c: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``c`` is in wanted(c), or with ``how='left_anti'`` those whose ``c`` isn't.
 
-    No row that is wanted is lost. Where all slots are taken nothing is dropped, and the join behind the filter, which is
-    exact, does the work.
+    ``wanted`` is a durable table, so that counting it reads no more than its rows. The rows are the same either way.
     """
-    slots = wanted.select(_slot(c)).distinct()
-    return df.withColumn("slot", _slot(c)).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    return df.join(sized(wanted), c, how)
+
+
+def grid(left: DataFrame, right: DataFrame, counts: DataFrame, edge: int = 2048) -> DataFrame:
+    """The join (x, y) of left(key, x STRUCT) and right(key, y STRUCT) on keys that very many rows hold; both by x.class and y.class.
+
+    ``counts`` has key and n, the rows that either side holds at most. A key's rows are dealt by hash over ceil(n / edge) rows
+    and columns of a grid: each cell joins about ``edge`` by ``edge`` rows, so no key is one group.
+    """
+    wide = sized(counts.withColumn("cells", F.ceil(F.col("n") / F.lit(edge)).cast("int")).select("key", "cells"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    at = lambda c: F.pmod(F.xxhash64(F.col(c)["class"]), F.col("cells")).cast("int")
+    rows = left.join(wide, "key").select("key", "x", at("x").alias("i"), every.alias("j")).distinct()
+    columns = right.join(wide, "key").select("key", "y", at("y").alias("j"), every.alias("i")).distinct()
+    return rows.join(columns, ["key", "i", "j"]).select("x", "y")

@@ -6,11 +6,14 @@ either) of at least ``overlap``.
 Method: similarity-hash bit fingerprints. A fingerprint is a string of bits, cut into blocks of 32; each word of a text
 picks one block and flips one bit in it, so the Hamming distance of two fingerprints is at most the number of words that
 one text has and the other lacks. For texts of n and m words with enough overlap that number is at most
-(n + m)(1 - overlap)/(1 + overlap), the Hamming radius r. Cut into r + 1 blocks, two fingerprints within the radius agree
-in at least one block, so joining on (block number, block code) across the splits loses no pair. r depends on the sizes:
-texts are put on levels by size, each 1/overlap times the one before, and meet on the lower of their two levels. The set of
-numbers, which must be equal, is part of the join key. Candidates are then held against the radius by a second, 64-bit
-fingerprint, and last by their words.
+(n + m)(1 - overlap)/(1 + overlap), the Hamming radius r. Cut into r + SPARE blocks, two fingerprints within the radius agree
+in SPARE blocks or more. r depends on the sizes: texts are put on levels by size, each 1/overlap times the one before, and
+meet on the lower of their two levels. The set of numbers, which must be equal, is part of every key.
+
+Two texts meet on one block that they agree in, unless its key is held by more than LIMIT texts: then they meet on pairs of
+such blocks, and where these are frequent too on three of them (SPARE of them agree, so no pair is lost). Keys that are
+frequent still, and those of very long texts, are joined in a grid of cells, over which both sides are dealt by hash. Those
+that meet are held against the radius by a second, 64-bit fingerprint, and last by their words.
 
 Prompts with the same words form one class before the join, so a prompt that a third of all rows hold is one row in it.
 """
@@ -27,14 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.words import Codes, is_number, words
-from quillmark.llm.filters import only
+from quillmark.llm.filters import grid, only
 from quillmark.session import durable, spread
 
 _BITS = 32  # of a block
+#: Blocks beyond the radius, and so blocks that a pair agrees in at least.
+SPARE = 3
+#: Texts that a key may be held by before more blocks are put together.
+LIMIT = 128
+#: Most blocks of a level of which pairs, and of which triples, are made; longer texts go to the grid.
+PAIRED, TRIPLED = 64, 24
 #: Classes that a task remembers, to give the keys of a copy no second time; forgotten when full.
 _REMEMBER = 200_000
-_PRINTED = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("class", pa.binary()), ("size", pa.int32()), ("print", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-_DDL = "id long, train boolean, class binary, size int, print long, words array<long>, keys array<long>"
+_PRINTED = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("class", pa.int64()), ("size", pa.int32()), ("print", pa.int64()), ("words", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("lower", pa.list_(pa.int64()))])
+_DDL = "id long, train boolean, class long, size int, print long, words array<long>, own array<long>, lower array<long>"
 
 
 def level_starts(overlap: float, most: int) -> list[int]:
@@ -72,7 +81,7 @@ def block_keys(codes: np.ndarray, numbers: int, level: int, blocks: int) -> np.n
 def _prints(overlap: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, starts = Codes(), level_starts(overlap, 64)
-        seen: set[tuple[bytes, bool]] = set()
+        seen: set[tuple[int, bool]] = set()
         for b in batches:
             out: list[list] = [[] for _ in _PRINTED]
             for id_, train, text in zip(*(b.column(c).to_pylist() for c in ("id", "train", "text")), strict=True):
@@ -89,19 +98,19 @@ def _prints(overlap: float):
                 number_codes = np.sort(np.array([codes[w] for w in own if is_number(w)], dtype=np.int64))
                 digest = hashlib.blake2b(number_codes.tobytes(), digest_size=8).digest()
                 rest = np.setdiff1d(all_codes, number_codes, assume_unique=True)
-                kind = hashlib.blake2b(all_codes.tobytes(), digest_size=16).digest()
-                keys = [np.zeros(0, dtype=np.int64)]
+                kind = int.from_bytes(hashlib.blake2b(all_codes.tobytes(), digest_size=8).digest(), "big", signed=True)
                 new = (kind, train) not in seen
                 if new and len(seen) >= _REMEMBER:
                     seen.clear()
                 seen.add((kind, train))
+                # Keys of the text's own level, then of the one below. Within a radius of 0 there are only texts of the same words.
+                keys: list[np.ndarray] = []
                 for at in (level, level - 1):
-                    if at >= 0 and new:
-                        most = radius(overlap, starts[at + 1] - 1 + starts[at + 2] - 1)
-                        keys.append(block_keys(rest, int.from_bytes(digest, "big"), at, most + 1))
+                    most = radius(overlap, starts[at + 1] - 1 + starts[at + 2] - 1) if at >= 0 and new else 0
+                    keys.append(block_keys(rest, int.from_bytes(digest, "big"), at, most + SPARE) if most else np.zeros(0, dtype=np.int64))
                 bits = np.zeros(1, dtype=np.uint64)
                 np.bitwise_xor.at(bits, np.zeros(len(all_codes), dtype=np.int64), np.uint64(1) << (all_codes.view(np.uint64) >> np.uint64(58)))
-                for column, v in zip(out, (id_, train, kind, size, int(_signed(bits)[0]), all_codes, np.concatenate(keys)), strict=True):
+                for column, v in zip(out, (id_, train, kind, size, int(_signed(bits)[0]), all_codes, *keys), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PRINTED, strict=True)], schema=_PRINTED)
 
@@ -114,28 +123,84 @@ def prints(df: DataFrame, overlap: float = 0.75) -> DataFrame:
     return spread(texts).mapInArrow(_prints(overlap), _DDL).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def class_pairs(p: DataFrame, overlap: float) -> DataFrame:
+_POST = ("class", "train", "size", "print", "at_own")
+
+
+def _big(posts: DataFrame, limit: int) -> DataFrame:
+    """(key, n, both) of the keys of more than ``limit`` posts, and whether both kinds of split hold them; counts combine before the shuffle."""
+    counts = posts.groupBy("key").agg(F.count("*").alias("n"), F.count_if("train").alias("t"))
+    return durable(counts.where(F.col("n") > limit).select("key", "n", ((F.col("t") > 0) & (F.col("t") < F.col("n"))).alias("both")))
+
+
+def _posts(p: DataFrame, limit: int) -> tuple[list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
+    """The posts of keys that ``limit`` allows, and those of keys that go to the grid with the counts of these."""
+    on = lambda level, own: p.where(F.size(level) > 0).select(F.posexplode(level).alias("block", "key"), F.size(level).alias("blocks"), "class", "train", "size", "print", F.lit(own).alias("at_own"))
+    one = on("own", True).unionAll(on("lower", False))
+    split = lambda posts, big: (only(posts, "key", big.select("key"), "left_anti").select("key", *_POST), only(posts, "key", big.where("both").select("key")))
+    big = _big(one, limit)
+    if big.isEmpty():
+        return [one.select("key", *_POST)], []
+    cold, hot = split(one, big)
+    cells = [(hot.where(F.col("blocks") > PAIRED).select("key", *_POST), big)]
+    # The frequent blocks of each text on each level, at most PAIRED.
+    of = hot.where(F.col("blocks") <= PAIRED).groupBy(*_POST, "blocks").agg(F.array_sort(F.collect_set(F.struct("block", "key"))).alias("b"))
+    after = lambda i: F.slice("b", i + 2, F.size("b"))
+    two = of.select(*_POST, "blocks", F.posexplode(F.col("b")["key"]).alias("i", "one"), F.col("b")["key"].alias("b")).select(*_POST, "blocks", "one", after(F.col("i")).alias("b")).select(*_POST, "blocks", "one", "b", F.posexplode("b").alias("i", "other"))
+    two = two.select(*_POST, "blocks", F.xxhash64("one", "other").alias("key"), after(F.col("i")).alias("b"))
+    big_two = _big(two, limit)
+    cold_two, hot_two = split(two, big_two)
+    if big_two.isEmpty():
+        return [cold, cold_two], cells
+    cells.append((hot_two.where(F.col("blocks") > TRIPLED).select("key", *_POST), big_two))
+    three = hot_two.where(F.col("blocks") <= TRIPLED).select(*_POST, "key", F.explode("b").alias("third")).select(*_POST, F.xxhash64("key", "third").alias("key"))
+    big_three = _big(three, limit)
+    cold_three, hot_three = split(three, big_three)
+    cells.append((hot_three.select("key", *_POST), big_three))
+    return [cold, cold_two, cold_three], cells
+
+
+def _near(met: DataFrame, overlap: float) -> DataFrame:
+    """Of met(x, y), x of an evaluation split and y of train, the classes (a, b) within the radius."""
+    x, y = F.col("x"), F.col("y")
+    far = F.floor((x["size"] + y["size"]) * F.lit((1 - overlap) / (1 + overlap)) + F.lit(1e-9))
+    good = ~x["train"] & y["train"] & (x["at_own"] | y["at_own"]) & (x["class"] != y["class"]) & (F.bit_count(x["print"].bitwiseXOR(y["print"])) <= far)
+    return met.where(good).select(x["class"].alias("a"), y["class"].alias("b"))
+
+
+def _in_groups(cold: list[DataFrame]) -> DataFrame:
+    """Pairs (x, y) of posts of one key, which no more than a known number share: one shuffle, by key."""
+    posts = cold[0]
+    for more in cold[1:]:
+        posts = posts.unionAll(more)
+    groups = posts.repartition("key").groupBy("key").agg(F.collect_set(F.struct(*_POST)).alias("group"))
+    side = lambda train: F.filter("group", lambda s: s["train"] if train else ~s["train"])
+    both = groups.where(F.size("group") > 1).select(side(False).alias("x"), side(True).alias("y")).where((F.size("x") > 0) & (F.size("y") > 0))
+    return both.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+
+
+def met_pairs(p: DataFrame, overlap: float, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a, b) of different classes, a with a record in an evaluation split and b in train, that meet within the radius."""
+    cold, cells = _posts(p, limit)
+    met = _near(_in_groups(cold), overlap)
+    for posts, counts in cells:
+        post = F.struct(*_POST)
+        met = met.unionAll(_near(grid(posts.where("not train").select("key", post.alias("x")), posts.where("train").select("key", post.alias("y")), counts), overlap))
+    return met.distinct()
+
+
+def class_pairs(p: DataFrame, overlap: float, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, b) of classes of prompts: a has a record in an evaluation split, b one in train; a = b included."""
-    once = p.where(F.size("keys") > 0)
-    sides = once.select("class", "train").distinct()
-    key = F.explode("keys").alias("key")
-    # Blocks that both kinds of split hold; the rest needs no shuffle of its own.
-    met_in = once.select(key, "train").groupBy("key").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e"))
-    live = durable(met_in.where("t and e").select("key"))
-    posts = lambda train: only(once.where(F.col("train") == train).select(key, "class", "size", "print"), "key", live).distinct()
-    left = posts(False).withColumnsRenamed({"class": "a", "size": "n_a", "print": "p_a"})
-    right = posts(True).withColumnsRenamed({"class": "b", "size": "n_b", "print": "p_b"})
-    far = F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - overlap) / (1 + overlap)) + F.lit(1e-9))
-    met = durable(left.join(right, "key").where("a <> b").where(F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= far).select("a", "b").distinct())
-    classes = only(once.select("class", "words"), "class", met.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
+    met = durable(met_pairs(p, overlap, limit))
+    involved = durable(met.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    classes = durable(only(p.select("class", "words"), "class", involved).repartition("class").distinct())
     own = lambda s: classes.select(F.col("class").alias(s), F.col("words").alias(f"w_{s}"))
     shared = F.size(F.array_intersect("w_a", "w_b"))
     sure = met.join(own("a"), "a").join(own("b"), "b").withColumn("n", shared).where(F.col("n") >= F.lit(overlap) * (F.size("w_a") + F.size("w_b") - F.col("n")) - F.lit(1e-9))
-    same = sides.where("not train").join(sides.where("train"), "class", "left_semi").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    return sure.select("a", "b").unionAll(same)
+    same = p.groupBy("class").agg(F.bool_or("train").alias("t"), F.bool_and("train").alias("only")).where("t and not only")
+    return sure.select("a", "b").unionAll(same.select(F.col("class").alias("a"), F.col("class").alias("b")))
 
 
-def overlaps(df: DataFrame, overlap: float = 0.75) -> DataFrame:
+def overlaps(df: DataFrame, overlap: float = 0.75, limit: int = LIMIT) -> DataFrame:
     """Pairs (record_idx_a, record_idx_b), a < b, of one record in train and one in another split that overlap.
 
     ``df`` has id BIGINT, split STRING and text STRING; other columns are ignored. Rows with a null id or split or without
@@ -143,7 +208,7 @@ def overlaps(df: DataFrame, overlap: float = 0.75) -> DataFrame:
     with itself.
     """
     p = prints(df, overlap)
-    pairs = durable(class_pairs(p, overlap))
+    pairs = durable(class_pairs(p, overlap, limit))
     members = p.select("class", "train", "id").distinct()
     left = members.where("not train").select(F.col("class").alias("a"), F.col("id").alias("x"))
     right = members.where("train").select(F.col("class").alias("b"), F.col("id").alias("y"))

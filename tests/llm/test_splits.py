@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from conftest import rows
 from quillmark.functions.words import is_number, words
-from quillmark.llm import splits
+from quillmark.llm import filters, splits
 
 SCHEMA = "id long, split string, source string, text string, class string"
 
@@ -19,7 +20,12 @@ def brute(data, overlap=0.75):
     return sorted(out, key=repr)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [128, 4])  # 4, so that small data has frequent keys of all kinds
+def test_against_brute_force(spark, monkeypatch, limit):
+    if limit == 4:
+        monkeypatch.setattr(filters, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(splits, "TRIPLED", 9)
+        monkeypatch.setattr(splits, "PAIRED", 12)
     rng = random.Random(3)
     vocabulary = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)] + ["7", "88"]
     base = [rng.sample(vocabulary, rng.randint(1, 40)) for _ in range(40)]
@@ -32,7 +38,7 @@ def test_against_brute_force(spark):
     data += [(1000 + i, "train" if i % 3 else "test", "a", "hot prompt 5") for i in range(60)]
     df = spark.createDataFrame([(*d, "clash") for d in data], SCHEMA)
     want = brute(data)
-    assert rows(splits.overlaps(df)) == want and len(want) > 800
+    assert rows(splits.overlaps(df, limit=limit)) == want and len(want) > 800
     report = rows(splits.report(df))
     assert sum(r[3] for r in report) == len(want)
 
@@ -50,3 +56,20 @@ def test_levels_cover_all_size_pairs():
             assert level(m) - level(n) <= 1
             at = level(n)
             assert splits.radius(0.75, n + m) <= splits.radius(0.75, starts[at + 1] - 1 + starts[at + 2] - 1)
+
+
+def test_rows_a_text_stay_flat_without_numbers(spark):
+    """Prompts without numbers, of words drawn from a skewed vocabulary: what meets grows with the texts, not with their square."""
+    rng = random.Random(7)
+    vocabulary = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}x" for k in range(5000)]
+    weights = [1 / (k + 2) for k in range(5000)]
+    each = []
+    for n in (1000, 4000):
+        data = [(i, "train" if i % 2 else "test", "s", " ".join(rng.choices(vocabulary, weights, k=rng.randint(20, 44))), None) for i in range(2 * n)]
+        cold, cells = splits._posts(splits.prints(spark.createDataFrame(data, SCHEMA)), splits.LIMIT)
+        met = splits._in_groups(cold).count()
+        for posts, counts in cells:
+            met += posts.where("not train").select("key").join(posts.where("train").select("key"), "key").count()
+        each.append(met / n)
+    print(each)
+    assert each[1] < 2 * each[0] + 300
