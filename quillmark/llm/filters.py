@@ -1,7 +1,8 @@
-"""Semi-joins whose small side is sent whole only after its rows have been counted."""
+"""Semi-joins whose small side is sent whole only after its rows have been counted, joins in a grid, and bitmaps of keys."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,19 @@ def grid(left: DataFrame, right: DataFrame, counts: DataFrame, edge: int = 2048)
     rows = left.join(wide, "key").select("key", "x", at("x").alias("i"), every.alias("j")).distinct()
     columns = right.join(wide, "key").select("key", "y", at("y").alias("j"), every.alias("i")).distinct()
     return rows.join(columns, ["key", "i", "j"]).select("x", "y")
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` slots, a power of two, in which those of keys(key LONG) are set; words of 32 bits come to the driver."""
+    slot = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(bits - 1)).alias("slot")
+    parts = keys.select(slot).groupBy(F.shiftright("slot", 5).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
+    got = parts.toPandas()
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[got["part"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return table.view(np.uint8)
+
+
+def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (uint64) have their slot set in a ``bitmap``."""
+    slot = (keys >> np.uint64(8)) & np.uint64(8 * len(table) - 1)
+    return ((table[(slot >> np.uint64(3)).view(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

@@ -3,36 +3,48 @@
 A document is affected by an item if it holds ``run`` or more consecutive words of the item's own sentences, whatever the
 case, punctuation, spacing, markup or escapes between them. A sentence that several items share is no item's own.
 
-Method: the own sentences form a BM25 inverted index with block maxima. Every document is cut into overlapping passages,
-each of which is a query, answered by block-max WAND: cursors over the postings of the passage's words, whole blocks
-skipped whose maxima cannot reach the threshold. The threshold of an item is the least score that any ``run`` consecutive
-words of it give, so whatever holds such words is retrieved. What is retrieved is verified against the item's words.
+Method: the own sentences form a BM25 inverted index with block maxima. The passages of a document are the stretches of
+``run`` or more words that the index knows (any other word scores nothing and ends a run), in overlapping windows of
+PASSAGE words. Each passage is a query, answered by block-max WAND: cursors over the postings of its words, moved by binary
+search, whole blocks skipped whose maxima cannot reach the threshold. The threshold of an item is the least score that any
+``run`` consecutive words of it give, so whatever holds such words is retrieved. Items stand in the order of their
+thresholds, so that the least threshold of those still ahead rises as the cursors move. What is retrieved is verified against the item's words.
 
-The index is broadcast. It is built in shards of a bounded number of words, counted beforehand; a larger test set gives
-more shards, each of which all passages query in turn.
+The corpus is read once, whatever the number of items: against a bitmap of the items' words it gives passages. The index is built by
+Spark tasks in shards of a bounded number of words, which are broadcast one by one; where there are several, the passages
+are kept and query one after the other.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.words import words
-from quillmark.session import spread
+from quillmark.functions.words import code, words
+from quillmark.llm.filters import bitmap
+from quillmark.session import durable, spread
 
 RUN = 12
 #: Words of own sentences in one shard of the index, some 100 bytes each once built.
 SHARD_WORDS = 400_000
 #: Words of a passage; the next one begins PASSAGE - RUN + 1 words later, so each run lies whole in some passage.
-PASSAGE = 96
+PASSAGE = 24
+#: Bits of the bitmap of the items' words; a word that it holds by chance only lengthens passages.
+KNOWN = 1 << 24
 _BLOCK = 32
+_first = itemgetter(0)
 _K1, _B = 1.2, 0.75
 
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|(?<=[。！？])\s*|\n+")
@@ -109,35 +121,39 @@ class Index:
         for b in bags:
             for w in b:
                 df[w] += 1
-        self.postings: dict[str, tuple[list[int], list[float], list[float], float]] = {}
-        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         impacts: list[dict[str, float]] = []
         for x, b in enumerate(bags):
             norm = _K1 * (1 - _B + _B * length[x] / mean)
             impacts.append({w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (_K1 + 1) / (tf + norm) for w, tf in b.items()})
-            for w, v in impacts[-1].items():
-                lists[w].append((x, v))
+        grams = [[p[k : k + run] for p in parts for k in range(len(p) - run + 1)] for parts in stretches]
+        least = [min(math.fsum(imp[w] for w in set(g)) for g in gs) - 1e-9 for imp, gs in zip(impacts, grams, strict=True)]
+        # Items in the order of their thresholds.
+        order = sorted(range(n), key=lambda x: (least[x], self.items[x]))
+        self.items = [self.items[x] for x in order]
+        self.threshold = [least[x] for x in order]
+        self.runs = [frozenset(map(gram_code, grams[x])) for x in order]
+        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for at, x in enumerate(order):
+            for w, v in impacts[x].items():
+                lists[w].append((at, v))
+        #: Of each word its items, their impacts, the last item and greatest impact of each block, and the greatest of all.
+        self.postings: dict[str, tuple[list[int], list[float], list[int], list[float], float]] = {}
         for w, post in lists.items():
             at, v = [p[0] for p in post], [p[1] for p in post]
-            self.postings[w] = (at, v, [max(v[k : k + _BLOCK]) for k in range(0, len(v), _BLOCK)], max(v))
-        self.threshold, self.runs = [], []
-        for imp, parts in zip(impacts, stretches, strict=True):
-            grams = [tuple(p[k : k + run]) for p in parts for k in range(len(p) - run + 1)]
-            self.threshold.append(min(math.fsum(imp[w] for w in set(g)) for g in grams) - 1e-9)
-            self.runs.append(frozenset(grams))
-        self.least = min(self.threshold, default=math.inf)
+            blocks = range(0, len(v), _BLOCK)
+            self.postings[w] = (at, v, [at[min(k + _BLOCK, len(at)) - 1] for k in blocks], [max(v[k : k + _BLOCK]) for k in blocks], max(v))
 
     def retrieve(self, query: set[str]) -> list[int]:
         """Positions of the items that score their threshold or more for the passage's words, by block-max WAND."""
         found = []
+        threshold, end = self.threshold, len(self.items)
         cursors = [[p[0][0], 0, p] for w in query if (p := self.postings.get(w))]
-        least = self.least
         while cursors:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=_first)
             bound, pivot = 0.0, None
             for k, c in enumerate(cursors):
-                bound += c[2][3]
-                if bound >= least:
+                bound += c[2][4]
+                if bound >= threshold[c[0]]:
                     pivot = k
                     break
             if pivot is None:
@@ -145,54 +161,98 @@ class Index:
             at = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
                 pivot += 1
-            # The block of each cursor that may hold the pivot; if their maxima don't reach, go past the first block's end.
-            block_bound, next_at = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else math.inf
+            # What the blocks around the pivot allow; if too little, all of them up to the first one's end are passed over.
+            block_bound, goal = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
             for c in cursors[: pivot + 1]:
-                ids, _, maxima, _ = c[2]
-                k = c[1] // _BLOCK
-                while (k + 1) * _BLOCK <= len(ids) - 1 and ids[(k + 1) * _BLOCK - 1] < at:
-                    k += 1
-                block_bound += maxima[k]
-                next_at = min(next_at, ids[min((k + 1) * _BLOCK, len(ids)) - 1] + 1)
-            if block_bound < least:
-                goal = max(next_at, at + 1)
-            elif cursors[0][0] == at:
-                score = math.fsum(c[2][1][c[1]] for c in cursors[: pivot + 1])
-                if score >= self.threshold[at]:
-                    found.append(at)
-                goal = at + 1
-            else:
-                goal = at
+                _, _, lasts, maxima, _ = c[2]
+                k = bisect_left(lasts, at)
+                if k < len(lasts):
+                    block_bound += maxima[k]
+                    goal = min(goal, lasts[k] + 1)
+            if block_bound >= threshold[at]:
+                if cursors[0][0] == at:
+                    if math.fsum(c[2][1][c[1]] for c in cursors[: pivot + 1]) >= threshold[at]:
+                        found.append(at)
+                    goal = at + 1
+                else:
+                    goal = at
+            goal = max(goal, at) if block_bound >= threshold[at] else max(goal, at + 1)
+            live = cursors[pivot + 1 :]
             for c in cursors[: pivot + 1]:
                 ids = c[2][0]
-                while c[1] < len(ids) and ids[c[1]] < goal:
-                    c[1] += 1
-                c[0] = ids[c[1]] if c[1] < len(ids) else math.inf
-            cursors = [c for c in cursors if c[0] != math.inf]
+                c[1] = bisect_left(ids, goal, c[1])
+                if c[1] < len(ids):
+                    c[0] = ids[c[1]]
+                    live.append(c)
+            cursors = live
         return found
 
-    def leaked(self, text: str) -> set[int]:
-        """Ids of the items of which the text holds a run."""
+    def leaked(self, stretch: list[str]) -> set[int]:
+        """Ids of the items of which a stretch of words holds a run."""
         got: set[int] = set()
-        run, postings = self.run, self.postings
-        for read in readings(text):
-            upper = [p[3] if (p := postings.get(w)) else 0.0 for w in read]
-            for lo in range(0, max(1, len(read) - run + 1), PASSAGE - run + 1):
-                if sum(upper[lo : lo + PASSAGE]) < self.least:
-                    continue
-                passage = read[lo : lo + PASSAGE]
-                hits = [x for x in self.retrieve(set(passage)) if self.items[x] not in got]
-                if hits:
-                    grams = {tuple(passage[k : k + run]) for k in range(len(passage) - run + 1)}
-                    got.update(self.items[x] for x in hits if not grams.isdisjoint(self.runs[x]))
+        run = self.run
+        for lo in range(0, max(1, len(stretch) - run + 1), PASSAGE - run + 1):
+            passage = stretch[lo : lo + PASSAGE]
+            hits = [x for x in self.retrieve(set(passage)) if self.items[x] not in got]
+            if hits:
+                grams = {gram_code(passage[k : k + run]) for k in range(len(passage) - run + 1)}
+                got.update(self.items[x] for x in hits if not grams.isdisjoint(self.runs[x]))
         return got
 
 
+def gram_code(gram: list[str]) -> int:
+    """64-bit code of consecutive words."""
+    return xxhash.xxh3_64_intdigest(" ".join(gram).encode("utf-8", "surrogatepass"))
+
+
+class _Known(dict):
+    """Whether a word's slot is set in the bitmap of the items' words; forgets everything when it holds ``limit`` words."""
+
+    def __init__(self, table: np.ndarray, limit: int = 500_000):
+        super().__init__()
+        self.table, self.limit = table, limit
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= self.limit:
+            self.clear()
+        slot = ((code(word) & 0xFFFFFFFFFFFFFFFF) >> 8) & (8 * len(self.table) - 1)
+        known = self[word] = bool(self.table[slot >> 3] >> (slot & 7) & 1)
+        return known
+
+
+def stretches(read: list[str], known: _Known, run: int) -> Iterator[list[str]]:
+    """The longest stretches of ``run`` or more words that are all known."""
+    if len(read) < run:
+        return
+    flags = np.fromiter(map(known.__getitem__, read), dtype=bool, count=len(read))
+    breaks = np.concatenate(([-1], np.flatnonzero(~flags), [len(read)]))
+    for k in np.flatnonzero(np.diff(breaks) > run):
+        yield read[breaks[k] + 1 : breaks[k + 1]]
+
+
+def _passages(held, run: int):
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Known(held.value)
+        for b in batches:
+            out = [(d, " ".join(s)) for d, t in zip(b["id"], b["text"], strict=True) for read in readings(t) for s in stretches(read, known, run)]
+            yield pd.DataFrame(out, columns=["id", "stretch"])
+
+    return step
+
+
+def _shard(run: int):
+    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        index = Index(list(zip(pdf["id"].tolist(), pdf["pos"].tolist(), pdf["sentence"].tolist(), strict=True)), run)
+        return pd.DataFrame({"shard": [key[0]], "index": [pickle.dumps(index, protocol=5)]})
+
+    return step
+
+
 def _search(held):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index: Index = held.value
+        index: Index = pickle.loads(held.value)
         for b in batches:
-            out = [(d, i) for d, t in zip(b["id"], b["text"], strict=True) for i in sorted(index.leaked(t))]
+            out = [(d, i) for d, t in zip(b["id"], b["stretch"], strict=True) for i in sorted(index.leaked(t.split(" ")))]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
     return step
@@ -205,17 +265,19 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, shard_words: i
     Other columns are ignored.
     """
     spark = documents.sparkSession
-    own = own_sentences(items).withColumn("n", F.size(F.split("sentence", " ")))
-    total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(total / shard_words))
+    own = durable(own_sentences(items))
+    word = own.select("id", F.explode(F.split("sentence", " ")).alias("word"))
+    table = bitmap(word.select(F.xxhash64("word").alias("key")), KNOWN)
+    shards = max(1, math.ceil(word.count() / shard_words))
+    built = durable(own.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_shard(run), "shard int, index binary"))
     texts = documents.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    texts = spread(texts)
-    result = None
+    passages = spread(texts).mapInPandas(_passages(spark.sparkContext.broadcast(table), run), "id long, stretch string")
+    if shards > 1:
+        passages = durable(passages)
+    result = spark.createDataFrame([], "doc_id long, item_id long")
     for k in range(shards):
-        rows = own.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).select("id", "pos", "sentence").collect()  # about shard_words words
-        held = spark.sparkContext.broadcast(Index([tuple(r) for r in rows], run))
-        part = texts.mapInPandas(_search(held), "doc_id long, item_id long")
-        result = part if result is None else result.unionAll(part)
+        for row in built.where(F.col("shard") == k).collect():  # one row, the index of about shard_words words
+            result = result.unionAll(passages.mapInPandas(_search(spark.sparkContext.broadcast(row["index"])), "doc_id long, item_id long"))
     return result.distinct()
 
 

@@ -134,8 +134,8 @@ def _big(posts: DataFrame, limit: int) -> DataFrame:
 
 def _posts(p: DataFrame, limit: int) -> tuple[list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
     """The posts of keys that ``limit`` allows, and those of keys that go to the grid with the counts of these."""
-    on = lambda level, own: p.where(F.size(level) > 0).select(F.posexplode(level).alias("block", "key"), F.size(level).alias("blocks"), "class", "train", "size", "print", F.lit(own).alias("at_own"))
-    one = on("own", True).unionAll(on("lower", False))
+    on = lambda level, own: F.transform(level, lambda k, i: F.struct(i.alias("block"), k.alias("key"), F.size(level).alias("blocks"), F.lit(own).alias("at_own")))
+    one = p.where("size(own) > 0 or size(lower) > 0").select("class", "train", "size", "print", F.explode(F.concat(on("own", True), on("lower", False))).alias("k")).select("class", "train", "size", "print", "k.*")
     split = lambda posts, big: (only(posts, "key", big.select("key"), "left_anti").select("key", *_POST), only(posts, "key", big.where("both").select("key")))
     big = _big(one, limit)
     if big.isEmpty():

@@ -41,30 +41,26 @@ def language_tag(c: Column) -> Column:
     return F.when(tag.isNull() | (tag == ""), "und").otherwise(tag)
 
 
+def _has_words(text: str, n: int) -> bool:
+    """Whether a text has ``n`` words or more; of a long one the end tells in most cases."""
+    return (len(text) > 400 and len(words(text[-400:])) >= n) or len(words(text)) >= n
+
+
 def verdict(text: str) -> tuple[str, str]:
     """('cut' | 'whole' | 'open', the text without the trace of a cut): what the end of a text says by itself."""
     core, trace = endings.strip_trace(text)
     if endings.open_fence(text):
         return "cut", core
-    if (trace == "hard" or endings.open_delimiter(core)) and words(core):
+    if (trace == "hard" or endings.open_delimiter(core)) and _has_words(core, 1):
         return "cut", core
     bare = core.rstrip(_AFTER_CLOSING)
-    if not bare or bare[-1] in endings.CLOSING or (trace is None and len(words(core)) < LEAST_WORDS and not any("一" <= c <= "鿿" for c in core)):
+    if not bare or bare[-1] in endings.CLOSING or (trace is None and not _has_words(core, LEAST_WORDS) and not any("一" <= c <= "鿿" for c in core)):
         return "whole", core
     if core.endswith(("```", "~~~")):
         return "whole", core
     return "open", core
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        got = [verdict(t) for t in b["text"]]
-        cores = [c for _, c in got]
-        yield pd.DataFrame(
-            {"id": b["id"], "column": b["column"], "lang": b["lang"], "class": [hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=16).digest() for c in cores], "verdict": [v for v, _ in got], "core": cores}
-        )
-
-
 def inner_end(core: str, digest: bytes) -> str | None:
     """``core`` up to one of its inner ends, without the mark; which one depends on the digest alone."""
     ends = [m.start() for m in _INNER_END.finditer(core, 0, max(0, len(core) - 1))]
@@ -77,18 +73,31 @@ def inner_end(core: str, digest: bytes) -> str | None:
     return before
 
 
-def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(column, lang, class, keys, within) of one inner end of each text."""
-    for b in batches:
-        got = []
-        for column, lang, text in zip(b["column"], b["lang"], b["text"], strict=True):
-            core, _ = endings.strip_trace(text)
-            digest = hashlib.blake2b(core.encode("utf-8", "surrogatepass"), digest_size=16, person=b"inner").digest()
-            if before := inner_end(core, digest):
-                got.append((column, lang, digest, before))
-        if got:
-            keys = endings.final_keys([x[3] for x in got])
-            yield pd.DataFrame({"column": [x[0] for x in got], "lang": [x[1] for x in got], "class": [x[2] for x in got], "keys": [k for k, _ in keys], "within": [w for _, w in keys]})
+_ENDS = "id long, column string, lang string, class binary, verdict string, keys array<long>, within array<long>, inner binary, inner_keys array<long>, inner_within array<long>"
+
+
+def digest(core: str, person: bytes = b"") -> bytes:
+    return hashlib.blake2b(core.encode("utf-8", "surrogatepass"), digest_size=16, person=person).digest()
+
+
+def _judge(learn: bool):
+    """The step from (id, column, lang, text) to _ENDS: what each end says, its contexts if it says nothing, and those of an inner end."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [verdict(t) for t in b["text"]]
+            finals = iter(endings.final_keys([c for v, c in got if v == "open"]))
+            keys, within = zip(*(next(finals) if v == "open" else (None, None) for v, _ in got), strict=True) if got else ((), ())
+            marks = [digest(c, b"inner") if learn else None for _, c in got]
+            before = [inner_end(c, m) if learn else None for (_, c), m in zip(got, marks, strict=True)]
+            inner = iter(endings.final_keys([x for x in before if x]))
+            inner_keys, inner_within = zip(*(next(inner) if x else (None, None) for x in before), strict=True) if got else ((), ())
+            yield pd.DataFrame({
+                "id": b["id"], "column": b["column"], "lang": b["lang"], "class": [digest(c) for _, c in got], "verdict": [v for v, _ in got],
+                "keys": list(keys), "within": list(within), "inner": [m if x else None for m, x in zip(marks, before, strict=True)], "inner_keys": list(inner_keys), "inner_within": list(inner_within),
+            })
+
+    return step
 
 
 def _learned(inner: DataFrame, odds: DataFrame, default: float) -> DataFrame:
@@ -108,20 +117,21 @@ def truncated(df: DataFrame, thresholds: Mapping[tuple[str, str], float] | None
     null where the end of the text decides by itself. Empty texts are whole; rows with a null id are left out. Rows may repeat ids; each is judged by itself.
     """
     texts = df.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("column", F.lit("")).alias("column"), language_tag(F.col("lang")).alias("lang"), "text")
-    judged = spread(texts).mapInPandas(_judge, "id long, column string, lang string, class binary, verdict string, core string")
-    scored = judged.select("class", "core", (F.col("verdict") == "open").alias("open"))
+    texts = spread(texts)
+    judged = texts.mapInPandas(_judge(learn), _ENDS).persist(StorageLevel.MEMORY_AND_DISK)
+    finals = judged.where("verdict = 'open'").select("class", "keys", "within")
     limit = F.lit(float(default))
     if learn:
-        inner = spread(texts).mapInPandas(_inner, "column string, lang string, class binary, keys array<long>, within array<long>")
-        odds = endings.log_odds(scored, inner.select("class", "keys", "within")).persist(StorageLevel.MEMORY_AND_DISK)
+        inner = judged.where("inner is not null").select("lang", "column", F.col("inner").alias("class"), F.col("inner_keys").alias("keys"), F.col("inner_within").alias("within"))
+        odds = endings.log_odds(texts, finals.unionByName(inner.select("class", "keys", "within"))).persist(StorageLevel.MEMORY_AND_DISK)
         limit = F.coalesce("own", limit)
         judged = judged.join(_learned(inner, odds, default), ["lang", "column"], "left")
     else:
-        odds = endings.log_odds(scored)
+        odds = endings.log_odds(texts, finals)
     if thresholds:
         table = F.create_map(*(F.lit(x) for (lang, column), v in thresholds.items() for x in (f"{lang}\x1f{column}", float(v))))
         limit = F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", "lang", "column")), limit)
-    rows = judged.drop("core").join(odds, "class", "left")
+    rows = judged.join(odds, "class", "left")
     by_model = (F.col("verdict") == "open") & (F.coalesce("log_odds", F.lit(0.0)) < limit)
     return rows.select("id", "column", "lang", F.when(F.col("verdict") == "open", F.col("log_odds")).alias("log_odds"), ((F.col("verdict") == "cut") | by_model).alias("cut"))
 
