@@ -122,8 +122,11 @@ def truncated(df: DataFrame, thresholds: Mapping[tuple[str, str], float] | None
     finals = judged.where("verdict = 'open'").select("class", "keys", "within")
     limit = F.lit(float(default))
     if learn:
-        inner = judged.where("inner is not null").select("lang", "column", F.col("inner").alias("class"), F.col("inner_keys").alias("keys"), F.col("inner_within").alias("within"))
-        odds = endings.log_odds(texts, finals.unionByName(inner.select("class", "keys", "within"))).persist(StorageLevel.MEMORY_AND_DISK)
+        inner = judged.where("inner is not null").select("lang", "column", F.col("inner").alias("class"))
+        # One pass over the judged rows for both kinds of end.
+        both = F.array(F.when(F.col("verdict") == "open", F.struct("class", "keys", "within")), F.when(F.col("inner").isNotNull(), F.struct(F.col("inner").alias("class"), F.col("inner_keys").alias("keys"), F.col("inner_within").alias("within"))))
+        ends = judged.select(F.explode(both).alias("e")).where("e is not null").select("e.*")
+        odds = endings.log_odds(texts, ends).persist(StorageLevel.MEMORY_AND_DISK)
         limit = F.coalesce("own", limit)
         judged = judged.join(_learned(inner, odds, default), ["lang", "column"], "left")
     else:
