@@ -25,6 +25,18 @@ def test_reads_all_kinds(spark, tmp_path):
     put(tmp_path / "sub" / "x.jsonl", '{"n": 99}')
     got = R.read_records(spark, str(tmp_path)).select(F.variant_get("record", "$.n", "int")).collect()
     assert sorted(r[0] for r in got) == [1, 2, 3, 4, 5, 6, 7]
+    at = R.read_records(spark, str(tmp_path)).select(F.variant_get("record", "$.n", "int"), "line_no").collect()
+    assert dict(map(tuple, at)) == {1: 0, 2: 3, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0}
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    path = put(tmp_path / "big.jsonl", "".join(f'{{"n": {i}}}\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = R.read_records(spark, path).select(F.variant_get("record", "$.n", "long"), "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 3000 and all(a == b for a, b in got)
 
 
 def test_fails_fast(spark, tmp_path):
@@ -77,3 +89,60 @@ def test_json_lines(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert [json.loads(x) for x in text.splitlines()] == [{"n": 1, "x": 1.5, "t": "a"}, {"n": 2, "t": "b"}]
     assert R.read_config(put(tmp_path / "c.json", '{"k": 1}')) == {"k": 1}
+
+
+def frame(spark, values):
+    return spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "id long, raw string").select("id", F.parse_json("raw").alias("record"))
+
+
+def test_forms_are_not_mixed(spark):
+    df = frame(spark, [
+        {"chosen_answer": "one", "preferred_response": "two", "rejected": "no"},
+        {"chosen": "c", "response_a": "x", "response_b": "y", "chosen_candidate": "b"},
+        {"response1": "x &amp; z", "response2": "y", "overall_preference": 0, "response_a": "p", "response_b": "q", "chosen_candidate": "a"},
+        {"response1": "x", "response2": "y", "overall_preference": "2"},
+        {"chosen": "", "chosen_response": "c", "rejected": ["r"], "response1": "x", "response2": "y", "overall_preference": True},
+    ])
+    form, good, bad = R.responses("record")
+    assert [tuple(r) for r in df.select("id", form, good, bad).orderBy("id").collect()] == [(0, "direct", "one", "no"), (1, "named", "y", "x"), (2, "neutral", None, None), (3, None, None, None), (4, "signed", "y", "x")]
+
+
+def test_conversations():
+    assert R.conversation("  a &lt; b \r\n c ") == ("a < b\n c", [{"role": "user", "content": "a < b\n c"}])
+    assert R.conversation('["x", {"from": "Bot", "value": "y"}, 7, {"role": "developer", "content": [{"text": "p"}, "q", {}]}]')[0] == "user: x\nassistant: y\nsystem: p\nq"
+    assert R.conversation({"conversation": {"messages": [{"speaker": "user", "text": "hi"}]}})[0] == "user: hi"
+    assert R.conversation({"role": "model", "content": "done"}) == ("done", [{"role": "assistant", "content": "done"}])
+    assert R.conversation([]) is None and R.conversation(5) is None and R.conversation({"content": ""}) is None
+    assert R.conversation("[broken")[0] == "[broken"
+
+
+def test_rubrics_and_candidates(spark):
+    df = frame(spark, [
+        {"self_rubrics": ["Name the place.", "name the place", " ", {"criterion": "Give a reason", "facet": "tone", "importance": "Critical", "reason": "r", "x": 1, "source": " Human "}, 5]},
+        {"self_generated_rubrics": '["in a string"]', "self_rubrics": ["not looked at"]},
+        {"prompt_wise_rubrics": None, "self_generated_rubrics": {"prompt_wise_rubrics": [{"text": "deep"}]}},
+        {"prompt_wise_rubrics": [], "self_rubrics": ["hidden by an empty list"]},
+        {"self_rubrics": "plain words"},
+    ])
+    got = [tuple(r)[:6] for r in R.rubrics(df, "id").orderBy("id", "pos").collect()]
+    assert got == [(0, 0, "Name the place.", "correctness", "major", "self"), (0, 3, "Give a reason", "style", "critical", "human"), (1, 0, "in a string", "correctness", "major", "self"), (2, 0, "deep", "correctness", "major", "self")]
+    assert R.rubrics(df, "id").where("pos = 3").select("grounding", "metadata").first() == ("r", '{"x":1}')
+    df = frame(spark, [
+        {"response1": "lost", "response2": "won", "overall_preference": 2, "responses": ["Lost!", "a &amp; b", {"text": " ", "value": "v"}], "meta": {"sampled_responses": '["...", "--", "last"]'}},
+        {"meta": "none", "responses": {"response": "single"}},
+        {},
+    ])
+    assert [tuple(r) for r in R.candidate_responses(df, "id").orderBy("id", "pos").collect()] == [(0, -1, "lost"), (0, 1, "a & b"), (0, 2, "v"), (0, 3, "..."), (0, 5, "last"), (1, 0, "single")]
+
+
+def test_feedback(spark):
+    one = {"reasoning": " r ", "feedback1": "", "feedback2": "f"}
+    df = frame(spark, [{"individual_preference": [one, "no", one, {"reasoning": "late"}]}, {"individual_preference": None}, {}])
+    assert [r[0] for r in df.orderBy("id").select(R.feedback("record")).collect()] == ["r\n\nf\n\nr\n\nf", "[none]", "[none]"]
+
+
+def test_running_index_for_null_ids(spark):
+    df = spark.createDataFrame([(None, "p", ["c"], ["r"], "Code", 0), (None, "p", [" "], ["r"], "math", 4), (None, "p", ["c"], ["r", "s"], "chat", None)], "id long, prompt string, chosen array<string>, rejected array<string>, subset string, total_completions int")
+    got = R.benchmark_items(df.coalesce(1)).select("example_id", "subset", "total_completions")
+    assert rows(got) == [("0", "code", 2), ("1", "chat", 3)]
+    assert rows(R.benchmark_items(df, subsets=["Math", "CODE"]).select("subset")) == [("code",)]
