@@ -12,8 +12,8 @@ from quillmark.session import durable, table
 
 
 def p2_found(spark: SparkSession, where: str) -> DataFrame:
-    facts = drift.field_facts(table(spark, where, "raw_records"))
-    return drift.changes(durable(facts)).select("file_name", "change", "field", "new_field")
+    records = table(spark, where, "raw_records")
+    return drift.changes(durable(drift.field_facts(records)), records).select("file_name", "change", "field", "new_field")
 
 
 def p2_versions(spark: SparkSession, where: str) -> DataFrame:
@@ -22,7 +22,8 @@ def p2_versions(spark: SparkSession, where: str) -> DataFrame:
 
 def p2_one_table(spark: SparkSession, where: str) -> DataFrame:
     records = table(spark, where, "raw_records")
-    return drift.one_table(records, drift.changes(durable(drift.field_facts(records))))
+    facts = durable(drift.field_facts(records))
+    return drift.one_table(records, drift.changes(facts, records), facts)
 
 
 def queries() -> dict:

@@ -16,7 +16,8 @@ def frame(spark, files, feed="f"):
 
 
 def found(spark, *files):
-    return sorted(r[1:] for r in rows(drift.changes(drift.field_facts(frame(spark, files))).select("feed", "file_name", "change", "field", "new_field")))
+    df = frame(spark, files)
+    return sorted(r[1:] for r in rows(drift.changes(drift.field_facts(df), df).select("feed", "file_name", "change", "field", "new_field")))
 
 
 def rec(i, **more):
@@ -57,27 +58,59 @@ def test_lines_that_say_nothing(spark):
     noise = [None, "", "  ", '{"broken": ', "[1]", '"text"', "NaN", '{"x": NaN}']
     assert found(spark, a, [*noise, "﻿" + json.dumps(rec(1)), json.dumps(rec(2) | {"gone": None})], noise, a) == []
     facts = drift.field_facts(frame(spark, []))
-    assert rows(drift.changes(facts)) == [] and rows(drift.versions(facts)) == []
+    assert rows(drift.changes(facts, frame(spark, []))) == [] and rows(drift.versions(facts)) == []
 
 
 def test_one_table(spark):
     a = [rec(i, domain="chat", grade=i) for i in range(12)]
-    b = [{"uid": i, "question": [{"role": "user", "content": f"What about number {i}"}, {"from": "bot", "text": "hm"}], "chosen_answer": ["two", "parts"], "rejected": None, "preference": "2", "gradeValue": i} for i in range(12)]
+    b = [{"uid": i, "question": [{"role": "user", "content": f"What about number {i}"}, {"from": "bot", "text": "hm"}], "chosen_answer": ["two", "parts"], "rejected": None, "preference": "2", "gradeValue": i, "note": {"by": i}} for i in range(12)]
     records = frame(spark, [a, b, ["", "{broken"]])
-    changes = drift.changes(drift.field_facts(records))
-    got = {r["raw_id"]: r for r in drift.one_table(records, changes).collect()}
+    facts = drift.field_facts(records)
+    changes = drift.changes(facts, records)
+    got = {r["raw_id"]: r for r in drift.one_table(records, changes, facts).collect()}
     assert len(got) == 24
-    assert got[1]["example_id"] == "x-0000" and got[1]["domain"] == "chat" and json.loads(got[1]["other"]) == {"grade": 0}
+    assert got[1]["example_id"] == "x-0000" and got[1]["domain"] == "chat" and json.loads(got[1]["other"]) == {"grade": 0, "note": None}
+    assert "default note" in got[1]["rules"] and got[1]["version"] == 1 and got[13]["version"] == 2
     r = got[13]
     assert r["example_id"] == "0" and r["prompt_text"] == "user: What about number 0\nbot: hm" and r["chosen_response"] == "two\nparts" and r["rejected_response"] is None
-    assert r["overall_preference"] == 2.0 and r["domain"] == "unknown" and json.loads(r["other"]) == {"grade": 0}
+    assert r["overall_preference"] == 2.0 and r["domain"] == "unknown" and json.loads(r["other"]) == {"grade": 0, "note": {"by": 0}}
+    assert [tuple(m) for m in r["prompt_messages"]] == [("user", "What about number 0"), ("bot", "hm")]
     assert any("rename gradeValue -> grade" in x for x in r["rules"]) and any("cast overall_preference" in x for x in r["rules"])
     assert rows(drift.one_table(records.limit(0), changes)) == []
 
 
 def test_chained_names():
-    assert drift.first_names([(2, "a", "b"), (3, "b", "c")], 3) == {"b": "a", "c": "a"}
-    assert drift.first_names([(2, "a", "b"), (3, "b", "c")], 2) == {"b": "a"}
+    steps = [(2, "renamed", "a", "b"), (3, "renamed", "b", "c"), (4, "retyped", "c", "c"), (5, "added", "d", "d"), (6, "removed", "e", "e")]
+    of = lambda v, seq: (drift.Migration(steps, seq).apply(v, done := []), done)
+    assert of({"c": 1, "e": 2}, 3) == ({"a": "1", "e": 2, "d": None}, ["rename c -> a", "cast a to string", "default d"])
+    assert of({"b": "x", "e": 2}, 2) == ({"a": "x", "e": 2, "d": None}, ["rename b -> a", "default d"])
+    assert of({"c": "x", "d": 1}, 6) == ({"a": "x", "d": 1, "e": None}, ["rename c -> a", "default e"])
+
+
+def test_nested_names_and_both_names():
+    steps = [(2, "renamed", "turns[].text", "turns[].body"), (3, "renamed", "turns", "talk"), (3, "renamed", "topic", "theme"), (4, "renamed", "talk[].who", "talk[].speaker")]
+    m = drift.Migration(steps, 4)
+    done = []
+    assert m.apply({"talk": [{"body": "x", "speaker": "u"}, {"text": "y", "who": "v"}], "theme": "new", "topic": "old"}, done) == {"turns": [{"text": "x", "who": "u"}, {"text": "y", "who": "v"}], "topic": "old", "theme": "new"}
+    assert "keep theme beside topic" in done and "rename turns[].body -> turns[].text" in done
+
+
+def test_rename_in_an_array_of_structs(spark):
+    a = [rec(i, turns=[{"text": f"said {i}", "n": 1}]) for i in range(12)]
+    b = [rec(i, turns=[{"body": f"said {i}", "n": 1}]) for i in range(12)]
+    df = frame(spark, [a, b])
+    facts = drift.field_facts(df)
+    changes = drift.changes(facts, df)
+    assert ("f/2", "renamed", "turns[].text", "turns[].body") in rows(changes.select("file_name", "change", "field", "new_field"))
+    other = {r["raw_id"]: json.loads(r["other"])["turns"] for r in drift.one_table(df, changes).collect()}
+    assert other[1] == [{"text": "said 0", "n": 1}] and other[13] == [{"text": "said 0", "n": 1}]
+
+
+def test_likeness_counts_all_values(spark):
+    """A small file followed by a large one that has all of its values: sets of unlike size."""
+    a = [rec(i, zone=f"z-{i}x{i}") for i in range(24)]
+    b = [rec(i, area=f"z-{i}x{i}") for i in range(400)]
+    assert found(spark, a, b) == [("f/2", "renamed", "zone", "area")]
 
 
 def test_versions_count_changes(spark):
