@@ -92,6 +92,10 @@ def p1_found(spark: SparkSession, where: str) -> DataFrame:
     return defects.found(table(spark, where, "preferences"))
 
 
+def p1_defects(spark: SparkSession, where: str) -> DataFrame:
+    return defects.listed(table(spark, where, "preferences"))
+
+
 def p1_defect_counts(spark: SparkSession, where: str) -> DataFrame:
     return defects.counts(table(spark, where, "preferences"))
 
