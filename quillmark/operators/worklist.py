@@ -1,68 +1,104 @@
-"""Rubrics of many cases refined by a first-in first-out worklist, all cases at once; and weights from their votes."""
+"""Rubrics of many cases refined by a first-in first-out worklist, each case by itself; and weights from their votes."""
 
 from __future__ import annotations
 
+import re
+from collections import deque
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators.pairs import PASS, share_of
-from quillmark.session import durable
+from quillmark.operators.pairs import PASS
+
+
+_LABEL = re.compile(r"^(?:new )?rubric\s*\d+\s*[:.\-]?\s*", re.I)
+
 
+def _bare(text: str) -> str:
+    """A rubric's line without its label or bullet, as ``text.without_label`` has it."""
+    line = _LABEL.sub("", " ".join(text.split()))
+    return " ".join(re.sub(r"^\s*[-*•]\s*", "", line).split())
 
-def halves(c: Column) -> Column:
+
+def halves(text: str) -> list[str]:
     """An offline decomposition: a rubric's parts around its first comma, semicolon or 'and', if both have two words or more."""
-    parts = F.filter(F.transform(F.split(c, r"[,;]\s+|\s+and\s+", 2), T.without_label), lambda x: F.size(F.split(x, " ")) >= 2)
-    return F.when(F.size(parts) == 2, parts).otherwise(F.array().cast("array<string>"))
+    parts = [_bare(p) for p in re.split(r"[,;]\s+|\s+and\s+", text, maxsplit=1)]
+    return parts if len(parts) == 2 and all(" " in p for p in parts) else []
+
+
+def _tokens(text: str) -> frozenset[str]:
+    """``text.tokens`` of one text."""
+    return frozenset(w for w in re.findall("[a-z0-9_]+", text.lower()) if len(w) > 1 and w not in T.STOPWORDS)
+
+
+class Case:
+    """The worklist of one case: what was seen and what was accepted. ``answers``: tokens, strength and number of the responses."""
+
+    def __init__(self, answers: list[tuple[frozenset[str], bool | None, int]], many: int, depth: int, rejects: int):
+        self.answers, self.many, self.depth, self.rejects = answers, many, depth, rejects
+        self.seen: set[str] = set()
+        self.held: set[frozenset[str]] = set()
+        self.accepted: list[tuple[str, int, int]] = []
+
+    def run(self, texts: list[str]) -> list[tuple[str, int, int]]:
+        queue, rejected = deque((t, 0) for t in texts), 0
+        while queue and rejected < self.rejects:
+            text, level = queue.popleft()
+            more = self.take(text, level)
+            rejected += more is None
+            queue.extend((p, level + 1) for p in more or ())
+        return self.accepted
+
+    def take(self, text: str, level: int) -> list[str] | None:
+        """What a rubric leads to: its parts for the back of the queue, none if it is accepted, None if it is rejected."""
+        key = _bare(text).lower()
+        if not key or key in self.seen:
+            return None
+        self.seen.add(key)
+        own = _tokens(text)
+        met = [(strong, n) for words, strong, n in self.answers if own and len(own & words) >= PASS * len(own)]
+        yes = sum(n for _, n in met)
+        if not yes:
+            return None
+        if yes > self.many and level < self.depth:
+            return halves(text) or None
+        strengths = {s for s, _ in met}
+        if (False in strengths and True not in strengths) or own in self.held:
+            return None
+        self.held.add(own)
+        self.accepted.append((text, level, yes))
+        return []
+
+
+def _refine(many: int, depth: int, rejects: int):
+    def step(key: tuple, rubrics: pd.DataFrame, responses: pd.DataFrame) -> pd.DataFrame:
+        answers = [(frozenset(t), None if s is None or pd.isna(s) else bool(s), n) for t, s, n in zip(responses["t"], responses["strong"], responses["n"], strict=True)]
+        got = Case(answers, many, depth, rejects).run(rubrics.sort_values(["pos", "text"])["text"].tolist())
+        return pd.DataFrame([(key[0], at, *g) for at, g in enumerate(got)], columns=["case_id", "ord", "text", "depth", "yes"])
+
+    return step
 
 
 def refine(rubrics: DataFrame, responses: DataFrame, many: int = 2, depth: int = 3, rejects: int = 15) -> DataFrame:
     """(case_id, ord, text, depth, yes) of the accepted rubrics of each case, in the order of acceptance.
 
-    ``rubrics`` has case_id, pos, text; ``responses`` has case_id, text, strong BOOLEAN (null for neither). Each round takes
-    the head of every case's queue: blank or seen before, rejected; no response satisfies it, rejected; more than ``many``
-    do and it is not ``depth`` deep, its halves go to the back of the queue, or it is rejected if it has none; the weak
-    reference satisfies it and the strong one doesn't, rejected; its tokens are those of an accepted one, rejected; else it
-    is accepted. A case stops at ``rejects`` rejections or an empty queue, and rounds go on until all have stopped. State is
-    one row per queued, seen and accepted rubric and per case, kept by checkpoints; a round is one pass over it.
+    ``rubrics`` has case_id, pos, text; ``responses`` has case_id, text, strong BOOLEAN (null for neither). The head of a case's
+    queue is taken: blank or seen before, rejected; no response satisfies it, rejected; more than ``many`` do and it is not
+    ``depth`` deep, its halves go to the back of the queue, or it is rejected if it has none; the weak reference satisfies it
+    and the strong one doesn't, rejected; its tokens are those of an accepted one, rejected; else it is accepted. A case stops
+    at ``rejects`` rejections or an empty queue.
+
+    Cases are independent: one shuffle brings each together. Repeats travel as far as they can matter: of equal responses one
+    with its number, of equal rubrics no more than could be rejected before the case stops.
     """
-    answers = responses.select("case_id", T.tokens("text").alias("t"), "strong")
-    seen_key = F.lower(T.without_label("text"))
-    queue = durable(rubrics.select("case_id", F.col("pos").cast("long").alias("ord"), "text", F.lit(0).alias("depth")))
-    cases = durable(queue.select("case_id").distinct().select("case_id", F.lit(0).alias("rejected"), F.lit(1_000_000_000).cast("long").alias("next"), F.lit(0).cast("long").alias("n")))
-    none = queue.limit(0)
-    seen = durable(none.select("case_id", F.col("text").alias("k"), F.lit(True).alias("again")))
-    accepted = durable(none.select("case_id", "ord", "text", "depth", F.col("ord").alias("yes"), F.col("text").alias("words"), F.lit(True).alias("same")))
-    while True:  # a queue ends: each step takes one from it, and halves are at most ``depth`` deep
-        live = cases.where(F.col("rejected") < rejects).select("case_id")
-        head = queue.join(live, "case_id", "left_semi").groupBy("case_id").agg(F.min(F.struct("ord", "text", "depth")).alias("h")).select("case_id", "h.*")
-        head = durable(head)
-        if head.isEmpty():
-            break
-        yes = share_of("t_r", "t") >= PASS
-        votes = head.withColumn("t_r", T.tokens("text")).join(answers, "case_id").groupBy("case_id").agg(F.count_if(yes).alias("yes"), F.bool_or(F.col("strong") & yes).alias("strong_yes"), F.bool_or(~F.col("strong") & yes).alias("weak_yes"))
-        now = head.join(votes, "case_id", "left").join(cases, "case_id").withColumns({"k": seen_key, "words": F.concat_ws(" ", F.array_sort(T.tokens("text"))), "parts": halves(F.col("text")), "yes": F.coalesce("yes", F.lit(0).cast("long"))})
-        now = now.join(seen, ["case_id", "k"], "left").join(accepted.select("case_id", "words", "same"), ["case_id", "words"], "left")
-        repeated = (F.col("k") == "") | F.coalesce("again", F.lit(False))
-        split = (F.col("yes") > many) & (F.col("depth") < depth)
-        weak = F.coalesce(F.col("weak_yes") & ~F.coalesce("strong_yes", F.lit(False)), F.lit(False))
-        same = F.coalesce("same", F.lit(False))
-        action = F.when(repeated | (F.col("yes") == 0), "reject").when(split & (F.size("parts") > 0), "split").when(split | weak | same, "reject").otherwise("accept")
-        now = durable(now.withColumns({"action": action, "repeated": repeated}))
-        grown = now.where("action = 'split'").select("case_id", F.posexplode("parts").alias("i", "text"), (F.col("depth") + 1).alias("depth"), "next").select("case_id", (F.col("next") + F.col("i")).alias("ord"), "text", "depth")
-        queue = durable(queue.join(head.select("case_id", "ord"), ["case_id", "ord"], "left_anti").unionByName(grown))
-        seen = durable(seen.unionByName(now.where("not repeated").select("case_id", "k", F.lit(True).alias("again"))))
-        accepted = durable(accepted.unionByName(now.where("action = 'accept'").select("case_id", F.col("n").alias("ord"), "text", "depth", "yes", "words", F.lit(True).alias("same"))))
-        step = now.select(
-            "case_id",
-            (F.col("rejected") + (F.col("action") == "reject").cast("int")).alias("rejected"),
-            (F.col("next") + F.when(F.col("action") == "split", F.size("parts")).otherwise(0)).cast("long").alias("next"),
-            (F.col("n") + (F.col("action") == "accept").cast("long")).alias("n"),
-        )
-        cases = durable(cases.join(step.select("case_id"), "case_id", "left_anti").unionByName(step))
-    return accepted.select("case_id", "ord", "text", "depth", "yes")
+    w = W.partitionBy("case_id", "text").orderBy("pos")
+    few = rubrics.where("text is not null").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rejects + 1).select("case_id", "pos", "text")
+    answers = responses.groupBy("case_id", F.array_sort(T.tokens("text")).alias("t"), "strong").agg(F.count("*").alias("n"))
+    return few.groupBy("case_id").cogroup(answers.groupBy("case_id")).applyInPandas(_refine(many, depth, rejects), "case_id string, ord long, text string, depth int, yes long")
 
 
 def vote_rates(votes: DataFrame) -> DataFrame:

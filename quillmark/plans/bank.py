@@ -30,26 +30,27 @@ def facet_importance_counts(spark: SparkSession, where: str) -> DataFrame:
 
 
 def _issue_sql() -> str:
+    """The issue of a text t as ``text.rubric_issue`` words it, over lists of words."""
     low, words = "lower(t)", "regexp_extract_all(lower(t), '[a-z]+(?:''[a-z]+)?')"
-    subjects, helpers = "|".join(T.SUBJECTS), "|".join(T.AUXILIARIES)
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    bare = f"regexp_replace({low}, '\\.+$', '')"
-    rest = lambda p: f"regexp_extract_all(regexp_replace({bare}, '{p}', ''), '[a-z]+(?:''[a-z]+)?')"
-    asked = rest(f"^(?:{helpers})\\b\\s*(?:(?:the )?(?:{subjects})|the|this|that|all)?")
-    tail = rest(f"^(?:the\\s+)?(?:{subjects})\\b")
-    hint = lambda w: f"len(list_intersect({w}, [{quoted(T.PREDICATES)}])) > 0"
+    at = lambda i, names: f"coalesce({words}[{i}] in ({quoted(names)}), false)"
+    asks = at("1", T.AUXILIARIES)
+    determined = f"({asks}::int + {at(f'{asks}::int + 1', T.DETERMINERS)}::int)"
+    subject = at(f"{determined} + 1", T.SUBJECTS)
+    said = f"{words}[{determined} + {subject}::int + 1:]"
+    has = lambda w: f"len(list_intersect({w}, [{quoted(T.PREDICATES)}])) > 0"
+    only_the = f"({words}[1] = 'the' or {words}[1] not in ({quoted(T.DETERMINERS)}))"
+    hangs = f"(len({said}) = 0 or coalesce(list_last({said}) in ({quoted(T.DANGLING)}), false))"
     count = lambda x: f"(length(t) - length(replace(t, '{x}', '')))"
     return f"""case when t = '' then 'empty_text' when {low} in ({quoted(T.FIELD_LABELS)}) then 'field_label_only'
-when {low} in ({quoted([*T.SUBJECTS, *(f"the {s}" for s in T.SUBJECTS)])}) then 'generic_subject_only'
-when regexp_matches(t, '(?i)^(?:{helpers})\\s+(?:(?:the\\s+)?(?:{subjects})|the|this|that|all)?\\s*\\?$') then 'incomplete_question_stem'
+when not {asks} and {subject} and {only_the} and len({said}) = 0 and regexp_matches({low}, '^[a-z ]+$') then 'generic_subject_only'
+when {asks} and len({said}) = 0 and right(t, 1) = '?' then 'incomplete_question_stem'
 when len({words}) = 0 then 'missing_word_tokens' when len({words}) = 1 then 'single_token_fragment'
 when right(t, 1) in ('(', '[', '{{', ':', '/', '-', '"', '''') then 'dangling_terminal'
 when {count("(")} > {count(")")} or {count("[")} > {count("]")} or {count("{")} > {count("}")} then 'unbalanced_brackets'
 when list_last({words}) in ({quoted(T.DANGLING)}) then 'dangling_suffix'
-when case when {bare} like '%?' then regexp_matches({bare}, '^(?:{helpers})\\b') and (len({asked}) = 0 or list_last({asked}) in ({quoted(T.DANGLING)}))
-  when {words}[1] = 'no' then false
-  else (len({words}) <= 3 and {words}[1] in ('the', 'this', 'that', 'these', 'those', 'all') and not {hint(words)})
-    or (regexp_matches({bare}, '^(?:the\\s+)?(?:{subjects})\\b') and (len({tail}) = 0 or list_last({tail}) in ({quoted(T.DANGLING)}) or (len({tail}) <= 2 and not {hint(tail)}))) end
+when case when right(t, 1) = '?' then {asks} and {hangs} when {words}[1] = 'no' then false
+  else (len({words}) <= 3 and {at("1", T.DETERMINERS)} and not {has(words)}) or (not {asks} and {subject} and {only_the} and ({hangs} or (len({said}) <= 2 and not {has(said)}))) end
   then 'bare_subject_fragment' else 'none' end"""
 
 
