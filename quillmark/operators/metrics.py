@@ -47,6 +47,11 @@ def ties_stats(correct: Column, incorrect: Column) -> list[Column]:
     return [(low > worst).alias("accurate"), F.when(F.size(correct) > 1, high - low).alias("spread"), (low - worst).alias("separation")]
 
 
+def ties_from(low: Column, high: Column, worst: Column, n: Column) -> list[Column]:
+    """The same from aggregates: the least and greatest of ``n`` correct scores and the greatest incorrect one."""
+    return [(low > worst).alias("accurate"), F.when(n > 1, high - low).alias("spread"), (low - worst).alias("separation")]
+
+
 def ties_score(groups: DataFrame) -> DataFrame:
     """The published blend over groups(ref_accurate, tied_accurate, tied_separation, ref_separation, spread); nulls count as 0."""
     near = F.least("ref_separation", "tied_separation")
@@ -70,3 +75,25 @@ def section_scores(by_subset: DataFrame, weights: DataFrame, subset: str, sectio
     """
     joined = by_subset.join(weights, subset)
     return joined.groupBy(section).agg((F.sum(F.col("weight") * F.col("accuracy")) / F.sum("weight")).alias("score"), F.count("*").alias("n_subsets"))
+
+
+def strict(cells: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_items, strict_accuracy, pair_total, pair_correct): items of cells(item, win DOUBLE, *keys) all of whose cells are won."""
+    items = cells.groupBy(*keys, "item").agg(F.bool_and(F.col("win") > 0.5).alias("all_won"), F.count("*").alias("n"), F.sum("win").alias("won"))
+    return items.groupBy(*keys).agg(F.count("*").alias("n_items"), F.avg(F.col("all_won").cast("int")).alias("strict_accuracy"), F.sum("n").alias("pair_total"), F.sum("won").alias("pair_correct"))
+
+
+# The domains whose equal-weight mean is the score.
+COVERED = ("Chat", "Code", "Math", "Safety")
+
+
+def macro(by_domain: DataFrame) -> DataFrame:
+    """One row (score, easy, normal, hard, n_domains): means over those of COVERED that by_domain(domain, easy, normal, hard, all) has; nulls without any."""
+    some = by_domain.where(F.col("domain").isin(*COVERED))
+    return some.agg(F.avg("all").alias("score"), *(F.avg(c).alias(c) for c in ("easy", "normal", "hard")), F.count("*").alias("n_domains"))
+
+
+def mean_of_subsets(accuracies: DataFrame, ties: DataFrame) -> DataFrame:
+    """One row (score, n_subsets): the mean over accuracies(subset, accuracy) and, for the subset of ties, ties(subset, score)."""
+    each = accuracies.select("subset", F.col("accuracy").alias("x")).unionByName(ties.select("subset", F.col("score").alias("x")))
+    return each.agg(F.avg(F.coalesce("x", F.lit(0.0))).alias("score"), F.count("*").alias("n_subsets"))

@@ -12,9 +12,10 @@ from quillmark.operators import pairs as P
 from quillmark.operators import selection as S
 from quillmark.operators import stages as G
 from quillmark.operators import worklist as K
-from quillmark.plans.pairs import COMPARED, DECIDED, _compared, _decided, sql_tokens
+from quillmark.plans.pairs import COMPARED, DECIDED, LANG, _compared, _decided, language, sql_tokens
 from quillmark.plans.registry import query
 from quillmark.session import table
+from quillmark.sources.records import official_domain
 
 LOGITS = "l as (select vec_id, generate_subscripts(embedding, 1) - 1 as pos, 20.0 * unnest(embedding)::double as z from embeddings)"
 SPARSE = f"""{LOGITS}, k as (select *, row_number() over w as k, sum(z) over (w rows unbounded preceding) - 1.0 as c from l window w as (partition by vec_id order by z desc, pos)),
@@ -95,38 +96,101 @@ def best_of_n_summary(spark: SparkSession, where: str) -> DataFrame:
     )
 
 
-@query("""with v as (select label, vec_id, embedding[1]::double as value from embeddings where label is not null)
-select a.label, a.vec_id, case when n > 1 then round((n * value - total) / (n - 1), 6) else 0 end as score from v a join (select label, sum(value) as total, count(*) as n from v group by 1) using (label)""")
+#: The responses of the pairs with their share of the prompt's tokens.
+RATED = f"""rated as (select record_idx, example_id, coalesce(nullif(lower(trim(regexp_replace(domain, '\\s+', ' ', 'g'))), ''), 'unknown') as domain, {LANG} as language, split,
+  case when len(t) = 0 then 0.0::double else len(list_intersect(t, {sql_tokens("chosen_response")}))::double / len(t) end as c,
+  case when len(t) = 0 then 0.0::double else len(list_intersect(t, {sql_tokens("rejected_response")}))::double / len(t) end as r
+  from (select *, {sql_tokens("prompt_text")} as t from preferences where prompt_text is not null))"""
+
+
+def _rated(spark: SparkSession, where: str) -> DataFrame:
+    p = table(spark, where, "preferences").where("prompt_text is not null").withColumn("t", T.tokens("prompt_text"))
+    return p.select("record_idx", "example_id", T.domain("domain").alias("domain"), language().alias("language"), "split", P.share_of("t", T.tokens("chosen_response")).alias("c"), P.share_of("t", T.tokens("rejected_response")).alias("r"))
+
+
+@query(f"""with {RATED}, v as (select example_id, record_idx * 2 as pos, c as value from rated union all select example_id, record_idx * 2 + 1, r from rated)
+select a.example_id, a.pos, case when n > 1 then round((n * value - total) / (n - 1), 6) else 0 end as score from v a join (select example_id, sum(value) as total, count(*) as n from v group by 1) using (example_id)""")
 def round_robin_scores(spark: SparkSession, where: str) -> DataFrame:
-    v = table(spark, where, "embeddings").where("label is not null").select("label", F.col("vec_id").alias("pos"), F.col("embedding")[0].cast("double").alias("value"))
-    return M.round_robin(v, "label").select("label", F.col("pos").alias("vec_id"), F.round("score", 6).alias("score"))
+    """Every response of an example against all others of it, by share of the prompt's tokens."""
+    two = F.explode(F.array(F.struct((F.col("record_idx") * 2).alias("pos"), F.col("c").alias("value")), F.struct((F.col("record_idx") * 2 + 1).alias("pos"), F.col("r").alias("value")))).alias("v")
+    v = _rated(spark, where).where("example_id is not null").select("example_id", two).select("example_id", "v.*")
+    return M.round_robin(v, "example_id").select("example_id", "pos", F.round("score", 6).alias("score"))
+
+
+TIES = f"""{RATED}, g as (select <keys>domain as grp, record_idx % 2 as half, min(c) as low, max(c) as high, max(r) as worst, count(c) as n from rated group by all),
+s as (select <keys>grp, half, low > worst as accurate, case when n > 1 then high - low end as spread, low - worst as separation from g),
+j as (select <t_keys>r.accurate as ra, t.accurate as ta, t.separation as ts, least(r.separation, t.separation) as near, t.spread as sp from s t join s r on t.grp = r.grp <same>and t.half = 1 and r.half = 0)"""
 
 
-@query("""with g as (select vec_id % 499 as grp, vec_id % 2 as half, count(*) filter (where good) as n_good, min(x) filter (where good) as low, max(x) filter (where good) as high, max(x) filter (where not good) as worst
-  from (select vec_id, embedding[1]::double as x, embedding[2] > 0 as good from embeddings) group by 1, 2),
-s as (select grp, half, low > worst as accurate, case when n_good > 1 then high - low end as spread, low - worst as separation from g where n_good > 0),
-j as (select r.accurate as ra, t.accurate as ta, t.separation as ts, least(r.separation, t.separation) as near, t.spread as sp from s t join s r on t.grp = r.grp and t.half = 1 and r.half = 0)
-select count(*)::bigint as n_groups, round(0.30 * coalesce(avg(coalesce(ta, false)::int), 0) + 0.30 * coalesce(avg(coalesce(ra, false)::int), 0) + 0.20 * coalesce(avg(coalesce(ts > sp, false)::int), 0)
-+ 0.20 * coalesce(avg(coalesce(near > sp, false)::int), 0) + 0.01 * coalesce(avg(near - sp), 0), 6) as score from j""")
+def _ties(keys: str, t_keys: str, same: str) -> str:
+    return TIES.replace("<keys>", keys).replace("<t_keys>", t_keys).replace("<same>", same)
+
+
+BLEND = """0.30 * coalesce(avg(coalesce(ta, false)::int), 0) + 0.30 * coalesce(avg(coalesce(ra, false)::int), 0) + 0.20 * coalesce(avg(coalesce(ts > sp, false)::int), 0)
++ 0.20 * coalesce(avg(coalesce(near > sp, false)::int), 0) + 0.01 * coalesce(avg(near - sp), 0)"""
+
+
+def _halves(rated: DataFrame, *keys: str) -> DataFrame:
+    """Reference and tied halves of each domain: all chosen responses are the correct ones, all rejected the incorrect."""
+    g = rated.groupBy(*keys, F.col("domain").alias("grp"), (F.col("record_idx") % 2).alias("half")).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("r").alias("worst"), F.count("c").alias("n"))
+    s = g.select(*keys, "grp", "half", *M.ties_from(F.col("low"), F.col("high"), F.col("worst"), F.col("n")))
+    tied = s.where("half = 1").select(*keys, "grp", F.col("accurate").alias("tied_accurate"), F.col("separation").alias("tied_separation"), "spread")
+    ref = s.where("half = 0").select(*keys, "grp", F.col("accurate").alias("ref_accurate"), F.col("separation").alias("ref_separation"))
+    return tied.join(ref, [*keys, "grp"])
+
+
+@query(f"with {_ties('', '', '')} select count(*)::bigint as n_groups, round({BLEND}, 6) as score from j")
 def ties_score(spark: SparkSession, where: str) -> DataFrame:
-    """Reference and tied halves of groups of vectors, their spreads and separations, and the blended score."""
-    e = table(spark, where, "embeddings").select((F.col("vec_id") % 499).alias("grp"), (F.col("vec_id") % 2).alias("half"), F.col("embedding")[0].cast("double").alias("x"), (F.col("embedding")[1] > 0).alias("good"))
-    of = lambda good: F.collect_list(F.when(F.col("good") == good, F.col("x")))
-    s = e.groupBy("grp", "half").agg(of(True).alias("c"), of(False).alias("i")).where(F.size("c") > 0).select("grp", "half", *M.ties_stats(F.col("c"), F.col("i")))
-    tied = s.where("half = 1").select("grp", F.col("accurate").alias("tied_accurate"), F.col("separation").alias("tied_separation"), "spread")
-    ref = s.where("half = 0").select("grp", F.col("accurate").alias("ref_accurate"), F.col("separation").alias("ref_separation"))
-    return M.ties_score(tied.join(ref, "grp")).select("n_groups", F.round("score", 6).alias("score"))
-
-
-@query("""with c as (select label, i as row, j as col, (embedding[i + 1] > embedding[j + 4])::int::double as win from embeddings, range(3) r(i), range(3) s(j) where label is not null)
-select label, round(avg(win) filter (where row > col), 6) as easy, round(avg(win) filter (where row = col), 6) as normal, round(avg(win) filter (where row < col), 6) as hard,
-round(avg(win), 6) as all, count(*)::bigint as n_cells from c group by 1""")
+    """Reference and tied halves of the domains, their spreads and separations, and the blended score."""
+    return M.ties_score(_halves(_rated(spark, where))).select("n_groups", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_ties("language, ", "t.language, ", "and t.language = r.language ")}, t as (select language as subset, {BLEND} as x from j where language = 'fr' group by 1),
+a as (select language as subset, avg((c > r)::int) as x from rated where language <> 'fr' group by 1)
+select round(avg(x), 6) as score, count(*)::bigint as n_subsets from (select * from t union all select * from a)""")
+def subsets_score(spark: SparkSession, where: str) -> DataFrame:
+    """The mean over languages as subsets; French stands for the subset that is scored by its ties."""
+    rated = _rated(spark, where)
+    ties = M.ties_score(_halves(rated.where("language = 'fr'"))).where("n_groups > 0").select(F.lit("fr").alias("subset"), "score")
+    rest = rated.where("language <> 'fr'").groupBy(F.col("language").alias("subset")).agg(F.avg((F.col("c") > F.col("r")).cast("int")).alias("accuracy"))
+    return M.mean_of_subsets(rest, ties).select(F.round("score", 6).alias("score"), "n_subsets")
+
+
+# Three records of a domain and split make an item: three chosen responses, as rows, against three rejected ones.
+CELLS = f"""{RATED}, n as (select *, row_number() over (partition by domain, split order by record_idx) - 1 as i from rated where split is not null),
+k as (select a.domain, a.split || ':' || (a.i // 3)::varchar as item, a.i % 3 as row, b.i % 3 as col, (a.c > b.r)::int::double as win from n a join n b on a.domain = b.domain and a.split = b.split and a.i // 3 = b.i // 3),
+cells as (select * from k where (domain, item) in (select (domain, item) from k group by domain, item having count(*) = 9))"""
+
+
+def _cells(spark: SparkSession, where: str) -> DataFrame:
+    n = _rated(spark, where).where("split is not null").withColumn("i", F.row_number().over(W.partitionBy("domain", "split").orderBy("record_idx")) - 1)
+    triple = n.groupBy("domain", "split", F.floor(F.col("i") / 3).alias("at")).agg(F.array_sort(F.collect_list(F.struct("i", "c", "r"))).alias("t")).where(F.size("t") == 3)
+    grid = F.explode(F.array(*(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), (F.col("t")[a]["c"] > F.col("t")[b]["r"]).cast("double").alias("win")) for a in range(3) for b in range(3)))).alias("g")
+    return triple.select("domain", F.concat_ws(":", "split", "at").alias("item"), grid).select("domain", "item", "g.*")
+
+
+_DIFFICULTY = "round(avg(win) filter (where row > col), 6) as easy, round(avg(win) filter (where row = col), 6) as normal, round(avg(win) filter (where row < col), 6) as hard, round(avg(win), 6) as all"
+
+
+@query(f"with {CELLS} select domain, {_DIFFICULTY}, count(*)::bigint as n_cells from cells group by 1")
 def matrix_3x3_difficulty(spark: SparkSession, where: str) -> DataFrame:
-    e = table(spark, where, "embeddings").where("label is not null")
-    at = F.explode(F.array(*(F.struct(F.lit(i).alias("row"), F.lit(j).alias("col")) for i in range(3) for j in range(3)))).alias("at")
-    cells = e.select("label", "embedding", at).select("label", "at.*", (F.get("embedding", F.col("at.row")) > F.get("embedding", F.col("at.col") + 3)).cast("double").alias("win"))
-    m = M.matrix(cells, "label")
-    return m.select("label", *(F.round(c, 6).alias(c) for c in ("easy", "normal", "hard", "all")), "n_cells")
+    m = M.matrix(_cells(spark, where), "domain")
+    return m.select("domain", *(F.round(c, 6).alias(c) for c in ("easy", "normal", "hard", "all")), "n_cells")
+
+
+@query(f"""with {CELLS}, i as (select domain, item, bool_and(win > 0.5) as won, count(*) as n, sum(win) as w from cells group by 1, 2)
+select domain, count(*)::bigint as n_items, round(avg(won::int), 6) as strict_accuracy, sum(n)::bigint as pair_total, sum(w) as pair_correct from i group by 1""")
+def strict_items(spark: SparkSession, where: str) -> DataFrame:
+    return M.strict(_cells(spark, where), "domain").withColumn("strict_accuracy", F.round("strict_accuracy", 6))
+
+
+@query(f"""with {CELLS}, d as (select case domain when 'chat' then 'Chat' when 'code' then 'Code' when 'math' then 'Math' when 'safety-refuse' then 'Safety' when 'safety-response' then 'Safety' else 'Other' end as domain, row, col, win from cells),
+m as (select domain, avg(win) filter (where row > col) as easy, avg(win) filter (where row = col) as normal, avg(win) filter (where row < col) as hard, avg(win) as al from d where domain <> 'Other' group by 1)
+select round(avg(al), 6) as score, round(avg(easy), 6) as easy, round(avg(normal), 6) as normal, round(avg(hard), 6) as hard, count(*)::bigint as n_domains from m""")
+def domains_score(spark: SparkSession, where: str) -> DataFrame:
+    """The equal-weight mean over the official domains that the items cover, and the same by difficulty."""
+    by = M.matrix(_cells(spark, where).withColumn("domain", official_domain("domain")), "domain")
+    return M.macro(by).select(*(F.round(c, 6).alias(c) for c in ("score", "easy", "normal", "hard")), "n_domains")
 
 
 # Examples of each coarse domain in the published benchmark.
