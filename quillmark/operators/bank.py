@@ -30,6 +30,17 @@ def collapse(rubrics: DataFrame) -> DataFrame:
     )
 
 
+def aliases(rubrics: DataFrame) -> DataFrame:
+    """(signature, alias, first_id): the texts of each signature other than the one that ``collapse`` keeps, one row each.
+
+    Rows rather than an array, so that a signature of very many wordings is no one row.
+    """
+    each = rubrics.select("rubric_id", "text", T.signature("text").alias("signature")).where("signature <> ''")
+    kept = collapse(rubrics).select("signature", F.col("text").alias("kept"))
+    texts = each.groupBy("signature", F.col("text").alias("alias")).agg(F.min("rubric_id").alias("first_id"))
+    return texts.join(kept, "signature").where("alias <> kept").drop("kept")
+
+
 def largest(collapsed: DataFrame, least_count: int = 1, most: int = 1024) -> DataFrame:
     """The bank of at most ``most`` entries: by count, importance, facet and text, with bank_id from 0 in that order."""
     order = [F.desc("observed_count"), T.importance_rank("importance"), "facet", "text"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators import drift
-from quillmark.plans import bank, delivered, pairs, scores  # noqa: F401
+from quillmark.plans import bank, delivered, pairs, recovery, scores  # noqa: F401
 from quillmark.plans.registry import QUERIES, SQL
 from quillmark.session import durable, table
 
