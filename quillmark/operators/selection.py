@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 from quillmark.functions import text as T
+from quillmark.session import durable, sized
 
 
 def sparsemax(logits: DataFrame, key: str, pos: str, z: str) -> DataFrame:
@@ -33,24 +37,34 @@ def top(df: DataFrame, key: str, score: Column, tie: str, k: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
+@F.pandas_udf(D.StringType())
+def without_accents(s: pd.Series) -> pd.Series:
+    """Lower case, compatibility forms made plain, and combining marks dropped."""
+    return s.map(lambda t: t.lower() if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)), na_action="ignore")
+
+
 def terms(df: DataFrame) -> DataFrame:
-    """(id, term, tf) of df(id, text): words of two characters or more and pairs of adjacent ones."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]{2,})"), F.lit(1))
-    two = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    return df.where("text is not null").select("id", w.alias("w")).select("id", F.explode(F.concat("w", two)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of df(id, text): words of two letters, digits or underscores and more, without accents, and pairs of adjacent ones.
+
+    All rows of an id are in one partition.
+    """
+    w = F.regexp_extract_all(without_accents("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    two = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    each = df.where("text is not null").select("id", w.alias("w")).select("id", F.explode(F.concat("w", two)).alias("term")).where("term is not null")
+    return each.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(df: DataFrame, features: int = 4096) -> DataFrame:
     """(id, term, weight): L2-normalised tf * (ln((1 + n) / (1 + df)) + 1) over the ``features`` most frequent terms.
 
-    n counts the texts that are not null. The vocabulary has at most ``features`` rows; Spark broadcasts it if it is small.
+    n counts the texts that are not null. Texts are read into terms once, in one shuffle by id; the vocabulary, of at most
+    ``features`` rows, is sent to all tasks, and the norm is a window over the same partitions.
     """
-    tf = terms(df)
+    tf = terms(df).persist(StorageLevel.MEMORY_AND_DISK)
     n = df.where("text is not null").count()
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
-    raw = tf.join(vocabulary, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    vocabulary = durable(tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features))
+    raw = tf.join(sized(vocabulary), "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    return raw.select("id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).alias("weight"))
 
 
 def _diverse(k: int, same_facet: int, near: float, penalty: float):
@@ -103,46 +117,165 @@ def seeded_split(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     return rest.unionByName(in_cut).drop("_h", "_b")
 
 
-def support_pairs(decisions: DataFrame, threshold: float, most: int) -> DataFrame:
-    """The ``most`` hardest pairs: those decided wrongly or with a gold margin up to ``threshold``, smallest margin first."""
+def support_pairs(decisions: DataFrame, threshold: float, most: int, least: int = 1) -> DataFrame:
+    """The ``most`` hardest pairs: those decided wrongly or with a gold margin up to ``threshold``, smallest margin first.
+
+    Where there is none, the ``least`` pairs of smallest margin.
+    """
     hard = decisions.where((F.col("gold_margin") <= threshold) | ~F.col("correct"))
+    if hard.isEmpty():
+        hard, most = decisions, least
     return hard.orderBy(F.col("gold_margin").asc_nulls_first(), "record_idx").limit(most)
 
 
-_MOMENTS = "gradient array<double>, loss double, n long"
+_MOMENTS = "gradient array<double>, loss double, n long, n_adv long"
+
+
+class Selector:
+    """Two layers from a prompt's features to logits over the bank, sparsemax weights alpha, and softplus weights of the bank's entries.
+
+    A pair's margin is the sum of alpha * weight * z over the entries; ``z`` holds what each entry says for the positive response.
+    """
+
+    def __init__(self, inputs: int, hidden: int, bank: int, seed: int = 13):
+        rng = np.random.default_rng(seed)
+        self.shapes = [(inputs, hidden), (hidden,), (hidden, bank), (bank,), (bank,)]
+        self.parts = [rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s) for s in self.shapes]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parts])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for i, s in enumerate(self.shapes):
+            n = int(np.prod(s))
+            self.parts[i] = flat[at : at + n].reshape(s)
+            at += n
+
+    def weights(self) -> np.ndarray:
+        return np.logaddexp(0.0, self.parts[4])
+
+    def alpha(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(alpha, hidden activations), a row for each row of x."""
+        w1, b1, w2, b2, _ = self.parts
+        h = np.maximum(x @ w1 + b1, 0.0)
+        return simplex(h @ w2 + b2), h
+
+    def gradient(self, x: np.ndarray, z: np.ndarray, adv: np.ndarray, mask: np.ndarray, share: tuple[float, float], similar: np.ndarray | None) -> tuple[np.ndarray, float]:
+        """The sum over the rows of the gradient and of the loss: share[0] * softplus(-margin) + share[1] * mask * softplus(-adv margin) + alpha D alpha."""
+        w2 = self.parts[2]
+        alpha, h = self.alpha(x)
+        w = self.weights()
+        margin, adv_margin = (alpha * w * z).sum(1), (alpha * w * adv).sum(1)
+        loss = share[0] * np.logaddexp(0, -margin).sum() + share[1] * (mask * np.logaddexp(0, -adv_margin)).sum()
+        pull = -share[0] * expit(-margin)[:, None] * z - share[1] * (mask * expit(-adv_margin))[:, None] * adv
+        d_alpha = pull * w
+        if similar is not None:
+            near = alpha @ similar
+            loss += (near * alpha).sum()
+            d_alpha = d_alpha + 2 * near
+        d_raw = (pull * alpha).sum(0) * expit(self.parts[4])
+        on = alpha > 0
+        d_logits = on * (d_alpha - (d_alpha * on).sum(1, keepdims=True) / on.sum(1, keepdims=True))
+        d_h = (d_logits @ w2.T) * (h > 0)
+        return np.concatenate([(x.T @ d_h).ravel(), d_h.sum(0), (h.T @ d_logits).ravel(), d_logits.sum(0), d_raw]), float(loss)
+
+
+def expit(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def simplex(z: np.ndarray) -> np.ndarray:
+    """Sparsemax of each row."""
+    s = -np.sort(-z, axis=1)
+    c = np.cumsum(s, axis=1) - 1.0
+    k = np.arange(1, z.shape[1] + 1)
+    n = (s * k > c).sum(1)
+    return np.maximum(z - (c[np.arange(len(z)), n - 1] / n)[:, None], 0.0)
+
+
+def _arrays(b: pd.DataFrame) -> list[np.ndarray]:
+    return [np.stack(b[c].to_numpy()) for c in ("x", "z", "adv")] + [b["mask"].to_numpy(dtype=float)]
+
+
+def _gradients(model: Selector, share: tuple[float, float], similar: np.ndarray | None):
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grad, loss, n, n_adv = np.zeros(len(model.flat())), 0.0, 0, 0
+        for b in batches:
+            if len(b):
+                g, v = model.gradient(*_arrays(b), share, similar)
+                grad, loss, n, n_adv = grad + g, loss + v, n + len(b), n_adv + int(b["mask"].sum())
+        yield pd.DataFrame({"gradient": [grad.tolist()], "loss": [loss], "n": [n], "n_adv": [n_adv]})
+
+    return step
+
+
+_SCORES = ("n", "right", "adv_n", "adv_right", "adv_margin", "with_targets", "recall", "active", "margin")
 
 
-def _gradients(weights: np.ndarray):
+def _scores(model: Selector, k: int):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grad, loss, n = np.zeros_like(weights), 0.0, 0
+        total = np.zeros(len(_SCORES))
         for b in batches:
-            if b.empty:
+            if not len(b):
                 continue
-            x = np.stack(b["x"].to_numpy())
-            margin = x @ weights
-            p = 1.0 / (1.0 + np.exp(np.clip(margin, -30, 30)))
-            grad -= p @ x
-            loss += float(np.logaddexp(0.0, -margin).sum())
-            n += len(x)
-        yield pd.DataFrame({"gradient": [grad.tolist()], "loss": [loss], "n": [n]})
+            x, z, adv, mask = _arrays(b)
+            alpha, _ = model.alpha(x)
+            score = alpha * model.weights()
+            margin, adv_margin = (score * z).sum(1), (score * adv).sum(1)
+            top = np.zeros_like(score, dtype=bool)
+            np.put_along_axis(top, np.argsort(-score, axis=1, kind="stable")[:, :k], True, axis=1)
+            target = z > TARGET
+            some = target.any(1)
+            recall = (top & target)[some].sum(1) / target[some].sum(1)
+            total += [len(b), (margin > 0).sum(), mask.sum(), (mask * (adv_margin > 0)).sum(), (mask * adv_margin).sum(), some.sum(), recall.sum(), (alpha > 0).mean(1).sum(), margin.sum()]
+        yield pd.DataFrame([total], columns=list(_SCORES))
 
     return step
 
 
-def train_weights(features: DataFrame, dims: int, epochs: int = 12, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, list[float]]:
-    """Weights that minimise the mean of softplus(-x.w) + decay |w|^2 over features(x ARRAY<DOUBLE>), and the loss of each epoch.
+#: What an entry must say for the positive response to be a target.
+TARGET = 0.05
+
 
-    Full-batch steps: each task sends one gradient of ``dims`` numbers, summed by Spark; nothing else reaches the driver.
+def evaluate(model: Selector, rows: DataFrame, k: int = 6) -> dict[str, float]:
+    """Accuracy, accuracy and margin against hard negatives, recall of the targets among the k best, activation rate, mean margin and weight.
+
+    ``rows`` as in ``train``. Each task sends one row of sums; rates without rows are 0.
     """
-    w, losses = np.zeros(dims), []
-    step_size = rate
-    for _ in range(epochs):
-        parts = features.select("x").mapInPandas(_gradients(w), _MOMENTS)
-        sums = parts.select(F.posexplode("gradient").alias("pos", "g"), "loss", "n")
-        rows = sums.groupBy("pos").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).orderBy("pos").collect()
-        if not rows or not rows[0]["n"]:
-            break
-        n = rows[0]["n"]
-        losses.append(rows[0]["loss"] / n + decay * float(w @ w))
-        w = w - step_size * (np.array([r["g"] for r in rows]) / n + 2 * decay * w)
-    return w, losses
+    s = rows.mapInPandas(_scores(model, k), ", ".join(f"{c} double" for c in _SCORES)).agg(*(F.sum(c).alias(c) for c in _SCORES)).first().asDict()
+    over = lambda a, b: float((s[a] or 0.0) / s[b]) if s[b] else 0.0
+    return {
+        "accuracy": over("right", "n"), "adv_accuracy": over("adv_right", "adv_n"), "adv_margin": over("adv_margin", "adv_n"), "recall_at_k": over("recall", "with_targets"),
+        "activation_rate": over("active", "n"), "avg_margin": over("margin", "n"), "avg_weight": float(model.weights().mean()),
+    }
+
+
+def train(model: Selector, rows: DataFrame, dev: DataFrame, epochs: int = 12, rate: float = 0.05, decay: float = 1e-3, similar: np.ndarray | None = None, k: int = 6) -> list[dict[str, float]]:
+    """Fit the selector to rows(x, z, adv ARRAY<DOUBLE>, mask DOUBLE): one step of Adam with decoupled decay an epoch, over all rows.
+
+    The loss is the mean of softplus(-margin); where there are hard negatives (mask 1, adv their z) the average of that and
+    the same over them; and the mean of alpha D alpha for ``similar`` D. Each task sends one gradient, which Spark sums; no rows reach the driver.
+    The model keeps the parameters of the first epoch with the greatest accuracy + 0.25 adv_accuracy + 0.05 recall on ``dev``.
+    """
+    counts = rows.agg(F.count("*").alias("n"), F.sum("mask").alias("a")).first()
+    n, a = counts["n"], counts["a"] or 0.0
+    if not n:
+        return []
+    share = (0.5, 0.5 * n / a) if a else (1.0, 0.0)
+    flat = model.flat()
+    m, v, best, kept, log = np.zeros_like(flat), np.zeros_like(flat), -np.inf, flat, []
+    for epoch in range(1, epochs + 1):
+        parts = rows.mapInPandas(_gradients(model, share, similar), _MOMENTS)
+        sums = parts.select(F.posexplode("gradient").alias("pos", "g"), "loss").groupBy("pos").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss")).orderBy("pos").collect()
+        g = np.array([r["g"] for r in sums]) / n
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        flat = flat * (1 - rate * decay) - rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+        model.load(flat)
+        scores = evaluate(model, dev, k)
+        log.append({"loss": sums[0]["loss"] / n, **scores})
+        worth = scores["accuracy"] + 0.25 * scores["adv_accuracy"] + 0.05 * scores["recall_at_k"]
+        if worth > best:
+            best, kept = worth, flat
+    model.load(kept)
+    return log

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def bank_usage(spark: SparkSession, where: str) -> DataFrame:
     return a.agg(F.count_if(F.col("alpha") > 0).alias("activations"), F.round(F.avg((F.col("alpha") > 0).cast("int")), 6).alias("rate"), F.round(F.sum("alpha"), 4).alias("mass"))
 
 
-@query("""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') as w from documents where text is not null),
+@query("""with w as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') as w from documents where text is not null),
 terms as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from w union all
   select doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) from w where len(w) > 1) group by 1, 2),
 v as (select term, sum(tf) as total, count(*) as df from terms group by 1 order by total desc, term limit 4096),
@@ -301,10 +302,27 @@ def documents_by_judge(spark: SparkSession, where: str) -> DataFrame:
 
 @query()
 def selector_training(spark: SparkSession, where: str) -> DataFrame:
-    """Facet weights fitted to the pairs' gold-aligned facet deltas, and the loss of each epoch."""
-    gold = P.oriented(table(spark, where, "preferences")).select("record_idx", "gold_side")
-    z = _compared(spark, where).join(gold, "record_idx").withColumn("z", F.when(F.col("gold_side") == "B", -F.col("delta")).otherwise(F.col("delta")))
-    x = z.groupBy("record_idx").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("facet") == f, F.col("z"))), F.lit(0.0)) for f in T.FACETS)).alias("x"))
-    weights, losses = S.train_weights(x, len(T.FACETS))
-    rows = [("weight", f, float(w)) for f, w in zip(T.FACETS, weights, strict=True)] + [("loss", str(i), float(v)) for i, v in enumerate(losses)]
-    return spark.createDataFrame(rows, "kind string, name string, value double")
+    """The selector fitted to the pairs of train and chosen on those of dev: entries are facets, features hashed words of the prompt.
+
+    The hard negative of a pair is the longest other rejected response of its example; ``z`` are facet sums of gold-aligned deltas.
+    """
+    prefs = table(spark, where, "preferences").where("prompt_text is not null")
+    size = 32
+    slot = F.pmod(F.xxhash64("w"), F.lit(size)).cast("int")
+    words = prefs.select("record_idx", F.explode(T.tokens("prompt_text")).alias("w")).groupBy("record_idx").agg(*(F.count_if(slot == i).cast("double").alias(f"f{i}") for i in range(size)))
+    norm = F.sqrt(sum((F.col(f"f{i}") * F.col(f"f{i}") for i in range(size)), F.lit(0.0)))
+    x = words.select("record_idx", F.array(*(F.try_divide(F.col(f"f{i}"), norm) for i in range(size))).alias("x"))
+
+    def facets(pairs: DataFrame, name: str) -> DataFrame:
+        z = P.comparisons(pairs, table(spark, where, "rubric_items")).join(pairs.select("record_idx", "gold_side"), "record_idx").withColumn("z", F.when(F.col("gold_side") == "B", -F.col("delta")).otherwise(F.col("delta")))
+        return z.groupBy("record_idx").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("facet") == f, F.col("z"))), F.lit(0.0)) for f in T.FACETS)).alias(name))
+
+    pairs = P.oriented(table(spark, where, "preferences"))
+    longest = prefs.where("trim(rejected_response) <> ''").groupBy("example_id").agg(F.max_by(F.struct("record_idx", "rejected_response"), F.struct(F.length("rejected_response"), "record_idx")).alias("h"))
+    hard = prefs.join(longest, "example_id").where("record_idx <> h.record_idx").withColumn("rejected_response", F.col("h.rejected_response"))
+    rows = prefs.select("record_idx", "split").join(x, "record_idx").join(facets(pairs, "z"), "record_idx").join(facets(P.oriented(hard), "adv"), "record_idx", "left")
+    rows = rows.select("split", "x", "z", F.coalesce("adv", F.array_repeat(F.lit(0.0), len(T.FACETS))).alias("adv"), F.col("adv").isNotNull().cast("double").alias("mask")).persist(StorageLevel.MEMORY_AND_DISK)
+    model = S.Selector(size, 16, len(T.FACETS))
+    log = S.train(model, rows.where("split = 'train'"), rows.where("split = 'dev'"))
+    out = [("weight", f, float(w)) for f, w in zip(T.FACETS, model.weights(), strict=True)] + [(c, str(i), float(v)) for i, e in enumerate(log) for c, v in e.items()]
+    return spark.createDataFrame(out, "kind string, name string, value double")

@@ -57,23 +57,33 @@ def test_diverse_against_greedy(spark):
         assert [got[e, k + 1] for k in range(len(chosen))] == [d[1] for d in chosen]
 
 
-def test_training_lowers_the_loss(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 3)) + np.array([1.0, 0.0, -0.5])
-    df = spark.createDataFrame([(row.tolist(),) for row in x], "x array<double>")
-    w, losses = selection.train_weights(df, 3, epochs=8)
-    assert losses == sorted(losses, reverse=True) and w[0] > 0 > w[2]
-    assert selection.train_weights(df.limit(0), 3)[1] == []
-
-
-def greedy_leaders(order, score):
-    leaders, out = [], {}
-    for n in order:
-        best = max(((score[n, x], -x) for x in leaders if (n, x) in score), default=None)
-        out[n] = n if best is None else -best[1]
-        if best is None:
-            leaders.append(n)
-    return out
+def test_selector_gradient_and_training(spark):
+    rng = np.random.default_rng(4)
+    x, z, adv, mask = rng.normal(size=(40, 5)), rng.normal(size=(40, 4)), rng.normal(size=(40, 4)), rng.integers(0, 2, 40).astype(float)
+    similar = np.array([[0, 1.0, 0, 0], [1.0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]])
+    model = selection.Selector(5, 6, 4)
+    flat = model.flat()
+    grad, _ = model.gradient(x, z, adv, mask, (0.5, 0.7), similar)
+    for i in rng.choice(len(flat), 25, replace=False):
+        ends = []
+        for step in (1e-6, -1e-6):
+            moved = flat.copy()
+            moved[i] += step
+            model.load(moved)
+            ends.append(model.gradient(x, z, adv, mask, (0.5, 0.7), similar)[1])
+        assert math.isclose((ends[0] - ends[1]) / 2e-6, grad[i], rel_tol=1e-3, abs_tol=1e-5)
+    model.load(flat)
+    truth = (x[:, :1] > 0) * 1.0  # the first entry is right where the first feature is positive, the second elsewhere
+    z = np.hstack([2 * truth - 1, 1 - 2 * truth, np.zeros((40, 2))])
+    rows_ = spark.createDataFrame([(a.tolist(), b.tolist(), [0.0] * 4, 0.0) for a, b in zip(x, z, strict=True)], "x array<double>, z array<double>, adv array<double>, mask double")
+    log = selection.train(model, rows_, rows_, epochs=25, rate=0.1, k=1)
+    assert log[-1]["loss"] < log[0]["loss"] and selection.evaluate(model, rows_, 1)["accuracy"] > 0.9 and selection.evaluate(model, rows_, 1)["recall_at_k"] > 0.9
+    assert selection.train(model, rows_.limit(0), rows_) == [] and selection.evaluate(model, rows_.limit(0))["accuracy"] == 0.0
+
+
+def test_terms_keep_accented_and_chinese_words(spark):
+    df = spark.createDataFrame([(1, "Über élan 中文 x", None), (2, None, "x"), (3, "", "y")], "id long, text string, term string")
+    assert sorted(rows(selection.terms(df.select("id", "text")))) == [(1, "elan", 1), (1, "elan 中文", 1), (1, "uber", 1), (1, "uber elan", 1), (1, "中文", 1)]
 
 
 def test_leaders_against_the_sequential_ones(spark):
