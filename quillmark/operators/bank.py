@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.session import durable
+from quillmark.session import durable, spread
 
 
 def collapse(rubrics: DataFrame) -> DataFrame:
@@ -116,6 +121,15 @@ def prune_score(weight: Column, rate: Column, support: Column, observed: Column)
     return 4.0 * weight + 2.0 * rate + 0.2 * support + 0.1 * observed
 
 
+def top_up(scored: DataFrame, least: int) -> DataFrame:
+    """``prune_filter``'s rows with ``keep`` set for the best-scored others, too, until ``least`` are kept; smaller ids first among equals."""
+    missing = least - scored.where("keep").count()
+    if missing <= 0:
+        return scored
+    more = scored.where("not keep").orderBy(F.desc("score"), "bank_id").limit(missing).select("bank_id", F.lit(True).alias("_more"))
+    return scored.join(more, "bank_id", "left").withColumn("keep", F.col("keep") | F.coalesce("_more", F.lit(False))).drop("_more")
+
+
 def prune_filter(bank: DataFrame, least_weight: float = 0.08, least_rate: float = 0.01) -> DataFrame:
     """bank(bank_id, weight, rate, support_count, observed_count) with its score and whether the filter keeps the entry."""
     keep = (F.col("weight") >= least_weight) | (F.col("rate") >= least_rate) | (F.col("support_count") > 0)
@@ -128,3 +142,111 @@ def new_candidates(existing: DataFrame, more: DataFrame, *keys: str) -> DataFram
     old = existing.select(*keys, T.signature("text").alias("signature")).distinct()
     first = fresh.groupBy(*keys, "signature").agg(F.min("id").alias("id"))
     return first.join(old, [*keys, "signature"], "left_anti")
+
+
+def _words(c: str) -> Column:
+    """The distinct words of a text's signature."""
+    return F.filter(F.array_distinct(F.split(T.signature(c), " ")), lambda w: w != "")
+
+
+def _best_of(held, k: int):
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, sizes, postings = pickle.loads(held.value)
+        for b in batches:
+            out = []
+            for i, words in zip(b["id"], b["words"], strict=True):
+                counts = np.zeros(len(ids))
+                for at in filter(lambda p: p is not None, map(postings.get, words)):
+                    counts[at] += 1
+                some = np.flatnonzero(counts)
+                if len(some):
+                    overlap = counts[some] / sizes[some]
+                    best = np.lexsort((-ids[some], -overlap))[:k]
+                    out += [(i, int(ids[some[j]]), float(overlap[j])) for j in best]
+            yield pd.DataFrame(out, columns=["id", "bank_id", "overlap"])
+
+    return step
+
+
+def most_overlapping(prompts: DataFrame, bank: DataFrame, k: int = 4, block: int = 16_384) -> DataFrame:
+    """(id, bank_id, overlap, rn): the k entries of bank(bank_id, text) of whose words prompts(id BIGINT, text) hold the greatest share, larger ids first among equals.
+
+    The bank is taken in blocks of about ``block`` entries, each sent whole to all tasks as an index of its words; a task
+    keeps k entries of each block for a prompt, and only these are shuffled. Entries and prompts without words, or without a common one, are in no row.
+    """
+    spark = prompts.sparkSession
+    entries = durable(bank.where("text is not null and bank_id is not null").select(F.col("bank_id").cast("long").alias("bank_id"), _words("text").alias("words")).where(F.size("words") > 0))
+    blocks = max(1, -(-entries.count() // block))
+    asked = prompts.where("text is not null and id is not null").select("id", _words("text").alias("words"))
+    found = spark.createDataFrame([], "id long, bank_id long, overlap double")
+    for n in range(blocks):
+        rows = entries.where(F.pmod(F.xxhash64("bank_id"), F.lit(blocks)) == n).toPandas()  # about ``block`` entries
+        postings: dict[str, list[int]] = {}
+        for at, words in enumerate(rows["words"]):
+            for w in words:
+                postings.setdefault(w, []).append(at)
+        index = (rows["bank_id"].to_numpy(), rows["words"].map(len).to_numpy(dtype=float), {w: np.array(p) for w, p in postings.items()})
+        found = found.unionAll(spread(asked).mapInPandas(_best_of(spark.sparkContext.broadcast(pickle.dumps(index)), k), "id long, bank_id long, overlap double"))
+    w = W.partitionBy("id").orderBy(F.desc("overlap"), F.desc("bank_id"))
+    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+
+
+def candidate_ids(prompts: DataFrame, matched: DataFrame, bank: DataFrame, k: int = 2) -> DataFrame:
+    """(id, bank_id, rn): the entries that a prompt's scores are asked for.
+
+    Those matched(id, bank_id, pos) to it, the first 2k by pos; for a prompt without any the max(k, 4) that its words cover
+    most (see ``most_overlapping``), and for one without these the first max(k, 4) of the bank by id.
+    """
+    some = max(k, 4)
+    order = F.row_number().over(W.partitionBy("id").orderBy("pos", "bank_id"))
+    first = matched.withColumn("rn", order).where(F.col("rn") <= 2 * k).select("id", "bank_id", "rn")
+    rest = prompts.join(matched.select("id").distinct(), "id", "left_anti")
+    overlapping = durable(most_overlapping(rest, bank, some).select("id", "bank_id", "rn"))
+    least = durable(bank.where("text is not null").select("bank_id").orderBy("bank_id").limit(some))
+    head = F.explode(F.array(*(F.struct(F.lit(r["bank_id"]).cast("long").alias("bank_id"), F.lit(i).alias("rn")) for i, r in enumerate(least.orderBy("bank_id").collect(), 1)))) if not least.isEmpty() else None
+    last = rest.select("id").join(overlapping.select("id").distinct(), "id", "left_anti")
+    got = first.unionByName(overlapping)
+    return got if head is None else got.unionByName(last.select("id", head.alias("h")).select("id", "h.*"))
+
+
+def lookup(candidates: DataFrame, bank: DataFrame, least: float = 0.88, bonus: float = 0.05) -> DataFrame:
+    """Pairs (id, bank_id, score) of candidates(id, text, facet) and bank(id, text, facet) entries that are alike by ``least`` or more.
+
+    The score is 1 for equal signatures; else the greater of token overlap and character ratio of the signatures, plus
+    ``bonus`` for the same facet. Entries are looked up by a candidate's three rarest tokens of those that few entries hold
+    (all in a bank of up to 256, else a sixteenth of it, but 256 to 2,048); without such a token by its rarest one, without
+    any by the first 32 characters. Three rare tokens keep the pairs few where candidates repeat entries; candidates that share only
+    frequent words with the bank cost up to three postings each. Characters are compared only where the lengths allow the score and the tokens alone don't reach it.
+    Equal signatures are looked up once. Texts without a signature are in no pair.
+    """
+    ours = candidates.select("id", T.facet("facet").alias("facet"), T.signature("text").alias("s")).where("s <> ''")
+    theirs = durable(bank.select(F.col("id").alias("bank_id"), T.facet("facet").alias("g"), T.signature("text").alias("t")).where("t <> ''").withColumn("tt", T.tokens("t")))
+    entries = theirs.count()
+    limit = entries if entries <= 256 else min(2048, max(256, entries // 16))
+    asked = durable(ours.groupBy("s", "facet").agg(F.count("*").alias("n")).select("s", "facet").withColumn("ts", T.tokens("s")))
+    posting = theirs.select("bank_id", F.explode("tt").alias("token"))
+    known = posting.groupBy("token").agg(F.count("*").alias("f"))
+    each = asked.dropDuplicates(["s"]).select("s", F.explode("ts").alias("token")).join(known, "token")
+    rank = F.row_number().over(W.partitionBy("s").orderBy("f", -F.length("token"), "token"))
+    # Tokens are ranked by frequency, so the frequent ones come after all rare ones; the rarest is taken whatever its frequency.
+    keys = each.withColumn("rn", rank).where(f"rn = 1 or (rn <= 3 and f <= {limit})").select("s", "token")
+    by_token = keys.join(posting, "token").select("s", "bank_id").distinct()
+    bare = asked.select("s").distinct().join(keys.select("s").distinct(), "s", "left_anti")
+    by_start = bare.withColumn("p", F.substring("s", 1, 32)).join(theirs.select("bank_id", F.substring("t", 1, 32).alias("p")), "p").select("s", "bank_id")
+    pairs = by_token.unionByName(by_start).join(theirs, "bank_id").join(asked, "s").where("s <> t")
+    extra = F.when(F.col("facet") == F.col("g"), bonus).otherwise(0.0)
+    pairs = pairs.withColumns({"overlap": T.jaccard("ts", "tt"), "extra": extra})
+    upper = 2.0 * F.least(F.length("s"), F.length("t")) / (F.length("s") + F.length("t"))
+    enough = lambda x: x + F.col("extra") >= F.lit(least) - F.lit(1e-9)
+    sure = pairs.where(enough(F.col("overlap"))).select("s", "facet", "bank_id", (F.col("overlap") + F.col("extra")).alias("score"))
+    open_ = pairs.where(~enough(F.col("overlap")) & enough(upper)).withColumn("x", F.greatest("overlap", T.sequence_ratio("s", "t")))
+    close = open_.where(enough(F.col("x"))).select("s", "facet", "bank_id", (F.col("x") + F.col("extra")).alias("score"))
+    equal = asked.join(theirs, F.col("s") == F.col("t")).groupBy("s", "facet").agg(F.min("bank_id").alias("bank_id")).withColumn("score", F.lit(1.0))
+    best = sure.unionByName(close).join(equal.select("s", "facet"), ["s", "facet"], "left_anti").unionByName(equal)
+    return ours.join(best, ["s", "facet"]).select("id", "bank_id", "score")
+
+
+def best_match(candidates: DataFrame, bank: DataFrame, least: float = 0.88, bonus: float = 0.05) -> DataFrame:
+    """(id, bank_id, score) of each candidate's best entry by ``lookup``, the smallest bank_id of equals; scores are cut at 1."""
+    each = lookup(candidates, bank, least, bonus)
+    return each.groupBy("id").agg(F.max_by("bank_id", F.struct(F.round("score", 9), -F.col("bank_id"))).alias("bank_id"), F.least(F.lit(1.0), F.max("score")).alias("score"))

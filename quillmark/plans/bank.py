@@ -10,7 +10,7 @@ from quillmark.operators import bank as B
 from quillmark.operators import selection as S
 from quillmark.plans.pairs import sql_facet, sql_importance, sql_tokens
 from quillmark.plans.registry import query
-from quillmark.session import table
+from quillmark.session import durable, table
 
 SIG = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 RANK = "(case importance when 'critical' then 0 when 'major' then 1 when 'minor' then 2 else 3 end)"
@@ -157,7 +157,7 @@ def prune_filter(spark: SparkSession, where: str) -> DataFrame:
 @query()
 def pruned_bank(spark: SparkSession, where: str) -> DataFrame:
     """Entries that the filter keeps and that are no near copy (overlap 0.92) of a better-scored one, in new order."""
-    kept = B.prune_filter(_weighted(spark, where)).where("keep")
+    kept = B.top_up(B.prune_filter(_weighted(spark, where)), 16).where("keep")
     texts = table(spark, where, "bank_entries").select("bank_id", "text").join(kept.select("bank_id"), "bank_id", "left_semi").select(F.col("bank_id").cast("long").alias("id"), "text")
     edges = B.similar_pairs(texts, texts, 0.92).where("a < b").select("a", "b", F.col("overlap").alias("score"))
     nodes = kept.select(F.col("bank_id").cast("long").alias("id"), F.struct(-F.col("score"), F.col("bank_id").cast("long")).alias("rank"))
@@ -180,21 +180,43 @@ def diverse_rubrics(spark: SparkSession, where: str) -> DataFrame:
     return S.diverse(pool, k=3)
 
 
-@query(f"""with bank as (select bank_id::bigint as bank_id, {sql_tokens("text")} as s from (select * from bank_entries where text is not null order by observed_count desc nulls last, bank_id limit 1024)),
-p as (select record_idx, {sql_tokens("prompt_text")} as s from preferences where prompt_text is not null),
-o as (select record_idx, bank_id, count(*) as n from (select record_idx, unnest(s) as w from p) x join (select bank_id, unnest(s) as w from bank) y using (w) group by 1, 2)
-select record_idx, bank_id, round(n::double / len(s), 6) as overlap, rn::int as rn from (
-  select record_idx, bank_id, n, s, row_number() over (partition by record_idx order by n::double / len(s) desc, bank_id desc) as rn from o join bank using (bank_id)) where rn <= 4""")
+_SET = "list_filter(list_distinct(string_split({}, ' ')), lambda x: x <> '')"
+
+
+@query(f"""with bank as (select bank_id::bigint as bank_id, {_SET.format(SIG)} as s from bank_entries where text is not null), b as (select * from bank where len(s) > 0),
+p as (select record_idx, example_id, {_SET.format(SIG.replace("text", "prompt_text"))} as s from preferences where prompt_text is not null),
+m as (select distinct p.record_idx, e.bank_id::bigint as bank_id, r.pos from p join rubric_items r using (example_id) join bank_entries e on {SIG.replace("text", "r.text")} = {SIG.replace("text", "e.text")} where {SIG.replace("text", "e.text")} <> ''),
+m1 as (select record_idx, bank_id, min(pos) as pos from m group by 1, 2), m2 as (select record_idx, bank_id, row_number() over (partition by record_idx order by pos, bank_id) as rn from m1),
+rest as (select * from p where record_idx not in (select record_idx from m1)),
+o as (select record_idx, bank_id, count(*) as n from (select record_idx, unnest(s) as w from rest) x join (select bank_id, unnest(s) as w from b) y using (w) group by 1, 2),
+t as (select record_idx, bank_id, row_number() over (partition by record_idx order by n::double / len(s) desc, bank_id desc) as rn from o join b using (bank_id)),
+h as (select bank_id, row_number() over (order by bank_id) as rn from bank order by bank_id limit 4)
+select record_idx, bank_id, rn::int as rn from m2 where rn <= 4 union all select record_idx, bank_id, rn::int from t where rn <= 4
+union all select record_idx, bank_id, rn::int from (select record_idx from rest where record_idx not in (select record_idx from o)), h""")
 def prompt_bank_topk(spark: SparkSession, where: str) -> DataFrame:
-    """The four entries of a bank of at most 1,024 whose tokens a prompt holds most of, the larger id of equals first.
-
-    The bank is bounded, so Spark will broadcast its tokens if they are small; overlaps are counted before the shuffle.
-    """
-    bank = table(spark, where, "bank_entries").where("text is not null").orderBy(F.desc_nulls_last("observed_count"), "bank_id").limit(1024)
-    words = bank.select(F.col("bank_id").cast("long").alias("bank_id"), T.tokens("text").alias("s")).select("bank_id", F.size("s").alias("size"), F.explode("s").alias("w"))
-    asked = table(spark, where, "preferences").where("prompt_text is not null").select("record_idx", F.explode(T.tokens("prompt_text")).alias("w"))
-    n = asked.join(words, "w").groupBy("record_idx", "bank_id").agg(F.count("*").alias("n"), F.first("size").alias("size")).withColumn("overlap", F.col("n") / F.col("size")).withColumn("neg", -F.col("bank_id"))
-    return S.top(n, "record_idx", F.col("overlap"), "neg", 4).select("record_idx", "bank_id", F.round("overlap", 6).alias("overlap"), "rn")
+    """The entries that a prompt is scored with: those its example's rubrics equal, else the four of whose words it holds most, else the first four."""
+    bank = table(spark, where, "bank_entries").select(F.col("bank_id").cast("long").alias("bank_id"), "text")
+    prompts = table(spark, where, "preferences").where("prompt_text is not null").select(F.col("record_idx").alias("id"), "example_id", F.col("prompt_text").alias("text"))
+    by_text = bank.select("bank_id", T.signature("text").alias("s")).where("s <> ''")
+    proposed = table(spark, where, "rubric_items").select("example_id", "pos", T.signature("text").alias("s")).join(by_text, "s").groupBy("example_id", "bank_id").agg(F.min("pos").alias("pos"))
+    matched = prompts.select("id", "example_id").join(proposed, "example_id").select("id", "bank_id", "pos")
+    return B.candidate_ids(prompts.select("id", "text"), matched, bank).withColumnRenamed("id", "record_idx")
+
+
+@query()
+def alias_lookup(spark: SparkSession, where: str) -> DataFrame:
+    """The best entry of the bank for each alias, by tokens or characters."""
+    c = _candidates(spark, where).select("id", "text", "facet")
+    return B.best_match(c, _bank(spark, where)).select("id", "bank_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def proposal_clusters(spark: SparkSession, where: str) -> DataFrame:
+    """Greedy leaders of the collapsed proposals in the order of count, importance, facet and text, by tokens or characters at 0.88."""
+    c = durable(B.collapse(table(spark, where, "rubric_items")).select(F.col("first_id").alias("id"), "text", "facet", "importance", "observed_count"))
+    nodes = c.select("id", F.struct(-F.col("observed_count"), T.importance_rank("importance"), "facet", "text", "id").alias("rank"))
+    edges = B.lookup(c, c).where("id <> bank_id").select(F.least("id", "bank_id").alias("a"), F.greatest("id", "bank_id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
+    return B.leaders(nodes, edges).withColumnsRenamed({"id": "rubric_id"})
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ def _compared(spark: SparkSession, where: str) -> DataFrame:
     return P.comparisons(_pairs(spark, where), table(spark, where, "rubric_items"))
 
 
-def _decided(spark: SparkSession, where: str) -> DataFrame:
-    return P.decide(_pairs(spark, where), P.margins(_compared(spark, where)))
+def _decided(spark: SparkSession, where: str, compared: DataFrame | None = None) -> DataFrame:
+    return P.decide(_pairs(spark, where), P.margins(_compared(spark, where) if compared is None else compared))
 
 
 @query(f"with {ORIENTED} select record_idx, gold_side from oriented")
@@ -132,13 +133,13 @@ def facet_capped_vote(spark: SparkSession, where: str) -> DataFrame:
   from decided d left join votes v using (record_idx))
 select record_idx, flipped, case when flipped then case side when 'A' then 'B' else 'A' end else side end as side from g""")
 def redundancy_guard(spark: SparkSession, where: str) -> DataFrame:
-    compared = _compared(spark, where)
-    return P.guarded(_decided(spark, where), P.facet_votes(compared)).select("record_idx", "flipped", "side")
+    compared = _compared(spark, where).persist(StorageLevel.MEMORY_AND_DISK)
+    return P.guarded(_decided(spark, where, compared), P.facet_votes(compared)).select("record_idx", "flipped", "side")
 
 
 @query(f"""with {COMPARED}, steps as (select record_idx, row_number() over o as k, sum(weight * delta) over (o rows unbounded preceding) / sum(weight) over (o rows unbounded preceding) as margin,
   count(*) over (partition by record_idx) as n from compared window o as (partition by record_idx order by weight desc, rubric_id)),
-tried as (select * from steps where k <= 64 and (k >= 3 or k = n)),
+tried as (select * from steps where k >= 3 or k = n),
 best as (select record_idx, coalesce(min(k) filter (where abs(margin) > {P.TIE}), max(k)) as k from tried group by 1)
 select record_idx, k::int as k, round(margin, 6) as margin, case when margin > {P.TIE} then 'A' when margin < -{P.TIE} then 'B' end as side from best join tried using (record_idx, k)""")
 def escalated_decisions(spark: SparkSession, where: str) -> DataFrame:
@@ -208,13 +209,14 @@ select round(self_acc, 6) as self_accuracy, round(svr_acc, 6) as learned_accurac
 case when abs(ref_acc - self_acc) > 1e-6 then round((svr_acc - self_acc) / (ref_acc - self_acc), 6) end as gap_closed from s, l""".replace("avg((abs(margin)", "avg((coalesce(abs(margin), 0)"))
 def gap_closed(spark: SparkSession, where: str) -> DataFrame:
     """Accuracy with self-made, all and human rubrics, and the share of the gap between the first and the last that all close."""
-    compared = _compared(spark, where).join(table(spark, where, "rubric_items").select("rubric_id", F.col("source").alias("rubric_source")), "rubric_id")
+    plain = _compared(spark, where).persist(StorageLevel.MEMORY_AND_DISK)
+    compared = plain.join(table(spark, where, "rubric_items").select("rubric_id", F.col("source").alias("rubric_source")), "rubric_id")
     margin = (F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("margin")
     gold = _pairs(spark, where).select("record_idx", "gold_side")
     right = ((F.col("margin") > P.TIE) & (F.col("gold_side") == "A")) | ((F.col("margin") < -P.TIE) & (F.col("gold_side") == "B"))
     by = compared.groupBy("record_idx", "rubric_source").agg(margin).join(gold, "record_idx").groupBy("rubric_source").agg(F.avg(right.cast("int")).alias("acc"))
     ends = by.agg(F.max(F.when(F.col("rubric_source") == "self", F.col("acc"))).alias("s"), F.max(F.when(F.col("rubric_source") == "human", F.col("acc"))).alias("r"))
-    learned = _decided(spark, where).agg(F.avg(((F.coalesce(F.abs("margin"), F.lit(0.0)) > P.TIE) & F.col("correct")).cast("int")).alias("l"))
+    learned = _decided(spark, where, plain).agg(F.avg(((F.coalesce(F.abs("margin"), F.lit(0.0)) > P.TIE) & F.col("correct")).cast("int")).alias("l"))
     none = F.lit(None).cast("double")
     rows = ends.select("s", "r", none.alias("l")).unionAll(learned.select(none, none, "l"))  # one row each
     both = rows.agg(F.max("s").alias("s"), F.max("r").alias("r"), F.max("l").alias("l"))

@@ -1,3 +1,4 @@
+import difflib
 import inspect
 import itertools
 import json
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from quillmark.functions.text import STOPWORDS
 from quillmark.operators import bank, components, metrics, pairs, selection, stages, worklist
 
 
@@ -291,3 +293,59 @@ def test_escalation_beyond_64(spark):
     df = spark.createDataFrame(data, "record_idx string, rubric_id long, weight double, delta double")
     assert rows(pairs.escalated(df).select("k", "side")) == [(71, "A")]
     assert rows(pairs.escalated(df, most=64).select("k", "side")) == [(64, None)]
+
+
+def test_lookup_against_all_pairs(spark):
+    rng = random.Random(6)
+    base = ["names the ledger of brakvorn before noon", "cites the report number 17 of the archive", "explains why the margin was moved twice", "gives one reason and no more than one"]
+    vary = lambda t: "".join(rng.choice("abcdefgh ") if rng.random() < 0.04 else c for c in t)
+    items = [(i, vary(rng.choice(base)), rng.choice(["style", "format"])) for i in range(80)] + [(99, None, "style"), (98, "...", None)]
+    entries = [(i, vary(rng.choice(base)), rng.choice(["style", "format"])) for i in range(60)]
+    a, b = spark.createDataFrame(items, "id long, text string, facet string"), spark.createDataFrame(entries, "id long, text string, facet string")
+    got = {(i, j): round(x, 6) for i, j, x in rows(bank.lookup(a, b))}
+    sig = lambda t: " ".join("".join(c if c.isalnum() and c.isascii() else " " for c in (t or "").lower()).split())
+    tok = lambda t: {w for w in sig(t).split() if len(w) > 1 and w not in STOPWORDS}
+    want = {}
+    for i, t, f in items:
+        equal = [j for j, u, _ in entries if sig(t) and sig(u) == sig(t)]
+        if equal:
+            want[i, min(equal)] = 1.0
+            continue
+        for j, u, g in entries:
+            if not sig(t):
+                continue
+            x, y = tok(t), tok(u)
+            extra = 0.05 if f == g else 0.0
+            s = (len(x & y) / len(x | y) if x and y else 0.0) + extra
+            if s < 0.88 - 1e-9:  # characters count only where tokens aren't enough
+                s = max(s, difflib.SequenceMatcher(None, sig(t), sig(u)).ratio() + extra)
+            if s >= 0.88 - 1e-9:
+                want[i, j] = round(s, 6)
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.9 * len(want) > 50
+    best = {i: (j, x) for i, j, x in rows(bank.best_match(a, b))}
+    assert all(x == min(1.0, max(v for (p, _), v in got.items() if p == i)) or abs(x - max(v for (p, _), v in got.items() if p == i)) < 1e-6 for i, (_, x) in best.items())
+    assert rows(bank.lookup(a.limit(0), b)) == [] and rows(bank.lookup(a, b.limit(0))) == []
+
+
+def test_candidate_ids_in_blocks(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    entries = [(i, " ".join(rng.sample(words, 5))) for i in range(50)] + [(60, None)]
+    asked = [(i, " ".join(rng.sample(words, 8))) for i in range(40)] + [(90, "nothing known"), (91, None)]
+    b, p = spark.createDataFrame(entries, "bank_id long, text string"), spark.createDataFrame(asked, "id long, text string")
+    assert rows(bank.most_overlapping(p, b, block=7)) == rows(bank.most_overlapping(p, b))
+    matched = spark.createDataFrame([(0, 7, 2), (0, 3, 1)], "id long, bank_id long, pos int")
+    got = {}
+    for i, j, n in rows(bank.candidate_ids(p.where("text is not null"), matched, b)):
+        got.setdefault(i, {})[n] = j
+    assert got[0] == {1: 3, 2: 7} and got[90] == {1: 0, 2: 1, 3: 2, 4: 3}
+    sets = {i: set(t.split()) for i, t in entries if t}
+    for i, t in asked[1:40]:
+        order = sorted(((len(set(t.split()) & s) / len(s), j) for j, s in sets.items()), reverse=True)
+        assert [got[i][n] for n in sorted(got[i])] == [j for x, j in order[:4] if x > 0]
+
+
+def test_prune_top_up(spark):
+    df = spark.createDataFrame([(1, 0.5, True), (2, 0.4, False), (3, 0.4, False), (4, 0.1, False)], "bank_id int, score double, keep boolean")
+    assert [r[0] for r in bank.top_up(df, 2).where("keep").orderBy("bank_id").collect()] == [1, 2] and bank.top_up(df, 1).where("keep").count() == 1
