@@ -42,19 +42,18 @@ def vocabulary() -> str:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _encoder(path: str):
+def _encoder(vocabulary: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(path: str):
+def _sizes(held):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path).encode_ordinary
+        encode = _encoder(held.value).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "tokens": [len(encode(t)) for t in b["text"]]})
 
@@ -62,9 +61,16 @@ def _sizes(path: str):
 
 
 def sizes(df: DataFrame, path: str | None = None) -> DataFrame:
-    """(id, tokens) of df(id BIGINT, text STRING); null texts and ids have no row, empty texts 0 tokens."""
+    """(id, tokens) of df(id BIGINT, text STRING); null texts and ids have no row, empty texts 0 tokens.
+
+    The vocabulary is read where the query is started, and sent to the tasks; it may have 64 MB at most.
+    """
+    with open(path or vocabulary(), "rb") as f:
+        ranks = f.read(64 * 2**20 + 1)
+    if len(ranks) > 64 * 2**20:
+        raise ValueError("the vocabulary has more than 64 MB")
     texts = df.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    return spread(texts).mapInPandas(_sizes(path or vocabulary()), "id long, tokens long")
+    return spread(texts).mapInPandas(_sizes(df.sparkSession.sparkContext.broadcast(ranks)), "id long, tokens long")
 
 
 def pack(items: list[int], capacity: int) -> list[list[int]]:
