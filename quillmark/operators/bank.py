@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.session import durable, spread
+from quillmark.session import durable, sized, spread
 
 
 def collapse(rubrics: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     sets = lambda df: df.select("id", T.tokens("text").alias("set")).where(F.size("set") > 0)
     a, b = sets(left), sets(right)
     each = lambda df: df.select("id", F.size("set").alias("n"), F.explode("set").alias("token"))
-    frequency = each(a).select("token").unionAll(each(b).select("token")).groupBy("token").agg(F.count("*").alias("f"))
+    # Where it is small the table of frequencies is sent to all tasks, so that frequent tokens aren't shuffled to one for it.
+    frequency = sized(durable(each(a).select("token").unionAll(each(b).select("token")).groupBy("token").agg(F.count("*").alias("f"))))
     kept = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1
 
     def prefix(df: DataFrame, name: str) -> DataFrame:

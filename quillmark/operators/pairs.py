@@ -53,23 +53,29 @@ def comparisons(pairs: DataFrame, rubrics: DataFrame) -> DataFrame:
 
 
 def margins(compared: DataFrame) -> DataFrame:
-    """(record_idx, n_rubrics, margin, vote): weighted mean of the deltas, and the sum of their signs."""
+    """(record_idx, n_rubrics, margin, vote): rubrics of some weight, weighted mean of the deltas, and the sum of their signs."""
     return compared.groupBy("record_idx").agg(
-        F.count("*").alias("n_rubrics"), (F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("margin"), F.sum(F.signum("delta")).cast("long").alias("vote")
+        F.count_if(F.col("weight") > 1e-9).alias("n_rubrics"), (F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("margin"), F.sum(F.signum("delta")).cast("long").alias("vote")
     )
 
 
-def decide(pairs: DataFrame, by_margin: DataFrame) -> DataFrame:
-    """One decision a pair: by its margin if that is large enough, else directly by the overlap with the prompt, else A."""
+def decide(pairs: DataFrame, by_margin: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """One decision a pair: by its margin if that is large enough, else by the sign of its hint, else directly by the overlap with the prompt, else A.
+
+    hints(record_idx, hint) has the sums of what a judge said of the pair as a whole in each chunk of rubrics: the chunk's
+    weight, negative for B; a pair without one, or with 0, has no hint.
+    """
     t = T.tokens("prompt_text")
     direct_a, direct_b = share_of(t, T.tokens("response_a")), share_of(t, T.tokens("response_b"))
     direct = pairs.select("record_idx", "language", "domain", "gold_side", F.when(direct_b > direct_a, "B").otherwise("A").alias("direct"))
     m = direct.join(by_margin, "record_idx", "left")
+    m = m.withColumn("hint", F.lit(0.0)) if hints is None else m.join(hints.select("record_idx", "hint"), "record_idx", "left").withColumn("hint", F.coalesce("hint", F.lit(0.0)))
     clear = F.coalesce(F.abs("margin") > TIE, F.lit(False))
+    hinted = F.col("hint") != 0
     return m.select(
         "record_idx", "language", "domain", "gold_side", F.coalesce("n_rubrics", F.lit(0).cast("long")).alias("n_rubrics"), "margin", F.coalesce("vote", F.lit(0).cast("long")).alias("vote"), "direct",
-        F.when(clear & (F.col("margin") > 0), "A").when(clear, "B").otherwise(F.col("direct")).alias("side"),
-        F.when(clear, "margin").otherwise("direct").alias("source"),
+        F.when(clear & (F.col("margin") > 0), "A").when(clear, "B").when(hinted, F.when(F.col("hint") > 0, "A").otherwise("B")).otherwise(F.col("direct")).alias("side"),
+        F.when(clear, "margin").when(hinted, "hint").otherwise("direct").alias("source"),
     ).withColumn("correct", F.col("side") == F.col("gold_side")).withColumn("gold_margin", F.when(F.col("gold_side") == "B", 0.0 - F.col("margin")).otherwise(F.col("margin")))
 
 

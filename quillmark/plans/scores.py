@@ -194,6 +194,22 @@ def domains_score(spark: SparkSession, where: str) -> DataFrame:
     return M.macro(by).select(*(F.round(c, 6).alias(c) for c in ("score", "easy", "normal", "hard")), "n_domains")
 
 
+# Raw domains of the published benchmark with their coarse domain and number of examples.
+RAW_DOMAINS = (
+    ("human-preference", "CHAT", 235), ("general", "CHAT", 108), ("Factuality", "CHAT", 44), ("Focus", "CHAT", 22), ("helpful", "CHAT", 13), ("code", "CODE", 258), ("mbpp", "CODE", 13), ("stem", "STEM", 167),
+    ("math", "STEM", 71), ("Math", "STEM", 5), ("mmlu-pro", "STEM", 5), ("gpqa", "STEM", 2), ("ifeval", "IF", 101), ("PreciseIF", "IF", 23), ("harmlessness", "SAFETY", 45), ("Safety", "SAFETY", 35),
+)
+
+
+@query(f"""with {DECIDED}, w(domain, coarse, n) as (values {", ".join(f"('{d}', '{c}', {n})" for d, c, n in RAW_DOMAINS)})
+select coalesce(coarse, 'OTHER') as coarse, count(*)::bigint as n_pairs, count(distinct decided.domain)::bigint as n_domains, round(avg((side = gold_side)::int), 6) as accuracy from decided left join w using (domain) group by 1""")
+def coarse_domains(spark: SparkSession, where: str) -> DataFrame:
+    """Accuracy by coarse domain; domains that the benchmark lacks are OTHER."""
+    w = spark.createDataFrame(RAW_DOMAINS, "domain string, coarse string, n int").select("domain", "coarse")
+    d = _decided(spark, where).join(F.broadcast(w), "domain", "left").groupBy(F.coalesce("coarse", F.lit("OTHER")).alias("coarse"))
+    return d.agg(F.count("*").alias("n_pairs"), F.count_distinct("domain").alias("n_domains"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
+
+
 # Examples of each coarse domain in the published benchmark.
 DOMAINS = (("chat", "CHAT", 422), ("code", "CODE", 271), ("stem", "STEM", 250), ("instruction", "IF", 124), ("safety", "SAFETY", 80))
 
@@ -207,6 +223,25 @@ def section_scores(spark: SparkSession, where: str) -> DataFrame:
     return M.section_scores(a, w, "domain", "section").select("section", F.round("score", 6).alias("score"), "n_subsets")
 
 
+@query(f"""with {DECIDED}, a as (select coalesce(domain, 'unknown') as domain, avg((side = gold_side)::int) as accuracy from decided group by 1),
+w(domain, section, weight) as (values {", ".join(f"('{d}', '{'Reasoning' if s in ('CODE', 'STEM') else 'General'}', {n})" for d, s, n in DOMAINS)}),
+s as (select section, sum(weight * accuracy) / sum(weight) as score from a join w using (domain) group by 1)
+select round(avg(score), 6) as core_score, count(*)::bigint as n_sections from s""")
+def core_score(spark: SparkSession, where: str) -> DataFrame:
+    """The unweighted mean of the sections that have a subset."""
+    return section_scores(spark, where).agg(F.round(F.avg("score"), 6).alias("core_score"), F.count("*").alias("n_sections"))
+
+
+@query(f"""with {COMPARED}, z as (select rubric_id, case gold_side when 'B' then -delta else delta end as z from compared join (select record_idx, gold_side from oriented) using (record_idx))
+select coalesce(anchor_id, 'none') as anchor_id, count(*)::bigint as support_count from z join rubric_items using (rubric_id) where z > 0.05 group by 1""")
+def support_counts(spark: SparkSession, where: str) -> DataFrame:
+    """How often the rubrics of each anchor speak for a pair's chosen response."""
+    gold = P.oriented(table(spark, where, "preferences")).select("record_idx", "gold_side")
+    z = _compared(spark, where).select("record_idx", "rubric_id", "delta").join(gold, "record_idx").where(F.when(F.col("gold_side") == "B", -F.col("delta")).otherwise(F.col("delta")) > 0.05)
+    anchors = table(spark, where, "rubric_items").select("rubric_id", F.coalesce("anchor_id", F.lit("none")).alias("anchor_id"))
+    return z.join(anchors, "rubric_id").groupBy("anchor_id").agg(F.count("*").alias("support_count"))
+
+
 @query(f"""with {COMPARED}, v as (select c.rubric_id, coalesce(o.domain, 'unknown') as grp, c.score_a >= {P.PASS} as yes from compared c join oriented o using (record_idx))
 select rubric_id, count(*) filter (where yes)::bigint as yes_count, count(*)::bigint as n, round(avg(yes::int), 6) as vote_rate, count(distinct grp)::bigint as n_groups from v group by 1""")
 def vote_rates_by_group(spark: SparkSession, where: str) -> DataFrame:

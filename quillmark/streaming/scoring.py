@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,11 +23,19 @@ def score_stream(spark: SparkSession, source: str, schema: str, rubrics: DataFra
     stream = spark.readStream.schema(schema).parquet(source)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        scored = score_batch(batch.dropDuplicates(["record_idx"]), rubrics)
+        fresh = batch.where("record_idx is not null").dropDuplicates(["record_idx"])
+        ends = fresh.agg(F.min("record_idx").alias("low"), F.max("record_idx").alias("high")).first()
+        if ends["low"] is None:
+            return
         try:
-            scored = scored.join(spark.read.parquet(target).select("record_idx"), "record_idx", "left_anti")
-        except Exception:  # no target yet
-            pass
+            done = spark.read.parquet(target)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            # Only files whose range of ids meets the batch's are read.
+            fresh = fresh.join(done.where(F.col("record_idx").between(ends["low"], ends["high"])).select("record_idx"), "record_idx", "left_anti")
+        scored = score_batch(fresh, rubrics)
         scored.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from quillmark.functions.text import STOPWORDS
-from quillmark.operators import bank, components, metrics, pairs, selection, stages, worklist
+from quillmark.operators import bank, components, metrics, pairs, recovery, selection, stages, worklist
 
 
 def test_sparsemax_is_the_projection(spark):
@@ -349,3 +349,31 @@ def test_candidate_ids_in_blocks(spark):
 def test_prune_top_up(spark):
     df = spark.createDataFrame([(1, 0.5, True), (2, 0.4, False), (3, 0.4, False), (4, 0.1, False)], "bank_id int, score double, keep boolean")
     assert [r[0] for r in bank.top_up(df, 2).where("keep").orderBy("bank_id").collect()] == [1, 2] and bank.top_up(df, 1).where("keep").count() == 1
+
+
+def test_hints_decide_before_the_direct_judge(spark):
+    p = spark.createDataFrame([(i, "e", "alpha", None, None, "x", "alpha", "A") for i in range(4)], "record_idx long, example_id string, prompt_text string, language string, domain string, response_a string, response_b string, gold_side string")
+    m = spark.createDataFrame([(0, 1, 0.5, 1), (1, 1, 0.01, 0), (2, 1, 0.0, 0)], "record_idx long, n_rubrics long, margin double, vote long")
+    hints = spark.createDataFrame([(0, -9.0), (1, 2.0), (2, 0.0), (3, -1.0)], "record_idx long, hint double")
+    got = {r["record_idx"]: (r["side"], r["source"]) for r in pairs.decide(p, m, hints).collect()}
+    assert got == {0: ("A", "margin"), 1: ("A", "hint"), 2: ("B", "direct"), 3: ("B", "hint")}
+
+
+def test_recovery(spark):
+    singles = spark.createDataFrame([(1, 0.5), (1, None), (2, None), (3, 0.02), (3, -0.01)], "record_idx long, margin double")
+    direct = spark.createDataFrame([(2, "B")], "record_idx long, direct string")
+    assert [tuple(r)[1:2] + tuple(r)[3:] for r in recovery.recovered(singles, direct).orderBy("record_idx").collect()] == [(1, "A", "partial"), (0, "B", "direct"), (2, "tie", "recovered")]
+    c = spark.createDataFrame([(" b", True, True, None), (None, True, False, "B"), ("tie", True, True, "a"), (None, False, False, None)], "better string, a boolean, b boolean, hint string")
+    assert [r[0] for r in c.select(recovery.settled(*(F.col(x) for x in c.columns))).collect()] == ["B", "A", "A", None]
+    bank_ = spark.createDataFrame([(1, "old"), (2, "kept"), (3, "kept too")], "bank_id int, text string")
+    replies = spark.createDataFrame([(1, 0, "first"), (1, 1, " new "), (2, 0, "x"), (2, 1, " ")], "bank_id int, pos int, text string")
+    assert sorted(rows(recovery.rewritten(bank_, replies)), key=repr) == [(1, "new", "old"), (2, "kept", None), (3, "kept too", None)]
+
+
+def test_benchmark_means(spark):
+    by = spark.createDataFrame([("Chat", 1.0, 0.5, 0.0, 0.5), ("Other", 0.0, 0.0, 0.0, 0.0), ("Code", 0.0, 0.5, 1.0, 0.7)], "domain string, easy double, normal double, hard double, all double")
+    assert rows(metrics.macro(by)) == [(0.6, 0.5, 0.5, 0.5, 2)] and rows(metrics.macro(by.limit(0)))[0][0] is None
+    cells = spark.createDataFrame([("a", i, float(i != "q")) for i in "ppq"], "d string, item string, win double")
+    assert rows(metrics.strict(cells, "d")) == [("a", 2, 0.5, 3, 2.0)]
+    a = spark.createDataFrame([("x", 1.0), ("y", None)], "subset string, accuracy double")
+    assert rows(metrics.mean_of_subsets(a, spark.createDataFrame([("t", 0.5)], "subset string, score double"))) == [(0.5, 3)]

@@ -70,3 +70,11 @@ def test_similarity(spark):
     assert got[0] == 1.0 and got[1] == 0.0 and 0.7 < got[3] < 1
     assert re.match("correctness", rows(df.select(T.facet(F.lit("odd"))).limit(1))[0][0])
     assert rows(df.limit(1).select(T.facet(F.lit(" Tone")), T.facet(F.lit("tool-use")), T.importance(F.lit("MAJOR ")), T.importance(F.lit(None).cast("string")), T.importance_weight(F.lit("critical")))) == [("style", "tool_use", "major", "major", 3.0)]
+
+
+def test_completion_texts(spark):
+    data = [
+        '{"choices": [{"text": "plain"}]}', '{"choices": [{"message": {"content": "said"}}]}', '{"choices": [{"message": {"content": [{"text": " a "}, {"x": 1}, {"text": "b"}]}}]}',
+        '{"choices": [{"message": {"content": "", "model_extra": {"text": " t ", "answer": "z"}}}]}', '{"choices": [{"index": 0}]}', '{"choices": []}', None,
+    ]
+    assert values(spark, data, T.completion_text("t")) == ["plain", "said", "a\nb", "t", '{"index":0}', "", None]
