@@ -126,7 +126,20 @@ def bank_diversity_edges(spark: SparkSession, where: str) -> DataFrame:
     return e.select(F.col("a").alias("bank_a"), F.col("b").alias("bank_b"), F.round((F.col("overlap") - 0.92) / 0.08, 6).alias("weight"))
 
 
-@query()
+def _leaders_sql(nodes: str, least: float) -> str:
+    """Greedy leaders one by one: lt(id, i) are nodes in their order, lx(a, b, score) links from later to earlier ones, ll(i) the leaders."""
+    return f"""lt as (select id, row_number() over (order by {nodes}) as i from ranked),
+lw as (select b.id, lt.i, b.s from b join lt using (id)),
+lo as (select x.i as a, y.i as b, count(*) as n from (select i, unnest(s) as w from lw) x join (select i, unnest(s) as w from lw) y on x.w = y.w and x.i > y.i group by 1, 2),
+lx as (select o.a, o.b, o.n::double / (len(p.s) + len(q.s) - o.n) as score from lo o join lw p on p.i = o.a join lw q on q.i = o.b where o.n::double / (len(p.s) + len(q.s) - o.n) >= {least} - 1e-9),
+le as (select a, list(b) as before from lx group by 1),
+lg(i, leaders) as (select 0::bigint, []::bigint[] union all select lt.i, case when list_has_any(lg.leaders, coalesce(le.before, [])) then lg.leaders else list_append(lg.leaders, lt.i) end from lg join lt on lt.i = lg.i + 1 left join le on le.a = lt.i),
+ll as (select unnest(leaders) as i from lg where i = (select max(i) from lt))"""
+
+
+@query(f"""with recursive {SETS}, ranked as (select bank_id::bigint as id, coalesce(observed_count, 0) as c from bank_entries), {_leaders_sql("c desc, id", 0.6)},
+f as (select lx.a, arg_max(lt.id, (lx.score, -lt.id)) as leader_id from lx join ll on ll.i = lx.b join lt on lt.i = lx.b where lx.a not in (select i from ll) group by 1)
+select lt.id as bank_id, coalesce(f.leader_id, lt.id) as leader_id from lt left join f on f.a = lt.i""")
 def bank_leader_clusters(spark: SparkSession, where: str) -> DataFrame:
     """Greedy leaders of the bank in the order of observed count and id, at an overlap of 0.6."""
     bank = table(spark, where, "bank_entries")
@@ -154,7 +167,8 @@ def prune_filter(spark: SparkSession, where: str) -> DataFrame:
     return B.prune_filter(_weighted(spark, where)).select("bank_id", F.round("score", 6).alias("score"), "keep")
 
 
-@query()
+@query(f"""with recursive {SETS}, {PRUNE}, ranked as (select bank_id::bigint as id, 4.0 * weight + 2.0 * rate + 0.2 * support_count + 0.1 * observed_count as score from w where coalesce(weight >= 0.08 or rate >= 0.01 or support_count > 0, false)),
+{_leaders_sql("score desc, id", 0.92)} select lt.id as bank_id from lt join ll using (i)""")
 def pruned_bank(spark: SparkSession, where: str) -> DataFrame:
     """Entries that the filter keeps and that are no near copy (overlap 0.92) of a better-scored one, in new order."""
     kept = B.top_up(B.prune_filter(_weighted(spark, where)), 16).where("keep")
@@ -173,7 +187,17 @@ def new_candidates_by_facet(spark: SparkSession, where: str) -> DataFrame:
     return B.new_candidates(bank, items, "facet").groupBy("facet").agg(F.count("*").alias("n_new"), F.min("id").alias("first_id"))
 
 
-@query()
+def _worth(*chosen: str) -> str:
+    sim = "greatest(" + ", ".join(f"case when len(p.t) = 0 or len({c}.t) = 0 then 0 else len(list_intersect(p.t, {c}.t))::double / len(list_distinct(list_concat(p.t, {c}.t))) end" for c in chosen) + ", 0)"
+    return f"(p.weight - 0.35 * {sim} - ({sim} >= 0.92)::int)"
+
+
+@query(f"""with p0 as (select example_id, rubric_id, {sql_tokens("text")} as t, {sql_facet("facet")} as facet, case {sql_importance("importance")} when 'critical' then 3.0::double when 'minor' then 1.0::double else 2.0::double end as weight from rubric_items where text is not null),
+p as (select *, row_number() over (partition by example_id order by weight desc, rubric_id) as i from p0 qualify i <= 18), a as (select * from p where i = 1),
+b as (select p.* from p join a using (example_id) where p.i <> a.i qualify row_number() over (partition by example_id order by {_worth("a")} desc, p.i) = 1),
+c as (select p.* from p join a using (example_id) join b using (example_id) where p.i not in (a.i, b.i)
+  qualify row_number() over (partition by example_id order by (p.facet = a.facet and p.facet = b.facet)::int, {_worth("a", "b")} desc, p.i) = 1)
+select example_id, rubric_id, 1 as place from a union all select example_id, rubric_id, 2 from b union all select example_id, rubric_id, 3 from c""")
 def diverse_rubrics(spark: SparkSession, where: str) -> DataFrame:
     r = table(spark, where, "rubric_items")
     pool = r.where("text is not null").select("example_id", "rubric_id", "text", T.facet("facet").alias("facet"), T.importance_weight(T.importance("importance")).alias("weight"))
