@@ -218,9 +218,13 @@ DOMAINS = (("chat", "CHAT", 422), ("code", "CODE", 271), ("stem", "STEM", 250),
 w(domain, section, weight) as (values {", ".join(f"('{d}', '{'Reasoning' if s in ('CODE', 'STEM') else 'General'}', {n})" for d, s, n in DOMAINS)})
 select section, round(sum(weight * accuracy) / sum(weight), 6) as score, count(*)::bigint as n_subsets from a join w using (domain) group by 1""")
 def section_scores(spark: SparkSession, where: str) -> DataFrame:
+    return _sections(spark, where).select("section", F.round("score", 6).alias("score"), "n_subsets")
+
+
+def _sections(spark: SparkSession, where: str) -> DataFrame:
     a = _decided(spark, where).groupBy(T.domain("domain").alias("domain")).agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))
     w = spark.createDataFrame([(d, "Reasoning" if s in ("CODE", "STEM") else "General", n) for d, s, n in DOMAINS], "domain string, section string, weight int")
-    return M.section_scores(a, w, "domain", "section").select("section", F.round("score", 6).alias("score"), "n_subsets")
+    return M.section_scores(a, w, "domain", "section")
 
 
 @query(f"""with {DECIDED}, a as (select coalesce(domain, 'unknown') as domain, avg((side = gold_side)::int) as accuracy from decided group by 1),
@@ -229,7 +233,7 @@ s as (select section, sum(weight * accuracy) / sum(weight) as score from a join
 select round(avg(score), 6) as core_score, count(*)::bigint as n_sections from s""")
 def core_score(spark: SparkSession, where: str) -> DataFrame:
     """The unweighted mean of the sections that have a subset."""
-    return section_scores(spark, where).agg(F.round(F.avg("score"), 6).alias("core_score"), F.count("*").alias("n_sections"))
+    return _sections(spark, where).agg(F.round(F.avg("score"), 6).alias("core_score"), F.count("*").alias("n_sections"))
 
 
 @query(f"""with {COMPARED}, z as (select rubric_id, case gold_side when 'B' then -delta else delta end as z from compared join (select record_idx, gold_side from oriented) using (record_idx))

@@ -88,6 +88,16 @@ def test_terms_keep_accented_and_chinese_words(spark):
     assert sorted(rows(selection.terms(df.select("id", "text")))) == [(1, "elan", 1), (1, "elan 中文", 1), (1, "uber", 1), (1, "uber elan", 1), (1, "中文", 1)]
 
 
+def greedy_leaders(order, score):
+    leaders, out = [], {}
+    for n in order:
+        best = max(((score[n, x], -x) for x in leaders if (n, x) in score), default=None)
+        out[n] = n if best is None else -best[1]
+        if best is None:
+            leaders.append(n)
+    return out
+
+
 def test_leaders_against_the_sequential_ones(spark):
     rng = random.Random(6)
     nodes = list(range(60))
