@@ -265,18 +265,19 @@ def candidate_responses(records: DataFrame, key: str) -> DataFrame:
     First the response that a signed preference turned down, then the lists under CANDIDATES in the record and its CONTAINERS;
     items are strings or objects that hold one. Responses without letters and digits share one signature. Keys must be unique.
     """
-    form, _, bad = responses("record")
     two = string(member("record", "response1")).isNotNull() & string(member("record", "response2")).isNotNull()
     sign = F.when(two & kind(member("record", "overall_preference")).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), F.try_variant_get("record", "$.overall_preference", "double"))
     loser = F.when(sign < 0, string(member("record", "response2"))).when((sign > 0) & ~F.isnan(sign), string(member("record", "response1")))
-    nothing = F.array().cast("array<variant>")
-    holders = [F.col("record"), *(F.when(kind(member("record", c)) == "OBJECT", member("record", c)) for c in CONTAINERS)]
-    lists = F.flatten(F.array(*(F.coalesce(elements(opened(member(h, n))), nothing) for h in holders for n in CANDIDATES)))
+    # Step by step, so that each value is opened once: the record and its containers, their fields, the items of each.
+    holders = F.array(F.col("record"), *(F.when(kind(member("record", c)) == "OBJECT", member("record", c)) for c in CONTAINERS))
+    held = records.select(key, F.posexplode(holders).alias("a", "h")).where("h is not null")
+    named = held.select(key, "a", F.posexplode(F.array(*(F.try_variant_get("h", f"$.{n}", "variant") for n in CANDIDATES))).alias("b", "v")).where("v is not null")
+    each = named.select(key, "a", "b", F.explode(F.array(opened(F.col("v")))).alias("v")).select(key, "a", "b", F.posexplode(elements(F.col("v"))).alias("c", "item"))
+    each = each.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy("a", "b", "c")) - 1)
     filled = lambda v: F.when(F.trim(string(v)) != "", string(v))
     # Only objects have members to look in.
-    each = records.select(key, loser.alias("loser"), F.posexplode_outer(lists).alias("pos", "item"))
     said = F.coalesce(filled(F.col("item")), *(filled(member(F.when(kind(F.col("item")) == "OBJECT", F.col("item")), n)) for n in RESPONSE_TEXT))
-    first = each.select(key, F.lit(-1).alias("pos"), F.col("loser").alias("response")).where("response is not null").distinct()
+    first = records.select(key, F.lit(-1).alias("pos"), loser.alias("response")).where("response is not null")
     rows = each.select(key, "pos", said.alias("response")).where("response is not null").unionByName(first).withColumn("response", T.clean_block("response")).where("response <> ''")
     again = F.row_number().over(W.partitionBy(key, T.signature("response")).orderBy("pos"))
     return rows.withColumn("_rn", again).where("_rn = 1").drop("_rn")
