@@ -204,9 +204,9 @@ def summary_by_domain(spark: SparkSession, where: str) -> DataFrame:
   select c.record_idx, r.source as rubric_source, sum(c.weight * c.delta) / sum(c.weight) as margin from compared c join (select rubric_id, source from rubric_items) r using (rubric_id) group by 1, 2),
 a as (select rubric_source, count(*) as n, avg((margin > {P.TIE} and gold_side = 'A' or margin < -{P.TIE} and gold_side = 'B')::int) as acc from by_source join oriented using (record_idx) group by 1),
 s as (select max(case when rubric_source = 'self' then acc end) as self_acc, max(case when rubric_source = 'human' then acc end) as ref_acc from a),
-l as (select avg((abs(margin) > {P.TIE} and side = gold_side)::int) as svr_acc from decided)
-select round(self_acc, 6) as self_accuracy, round(svr_acc, 6) as learned_accuracy, round(ref_acc, 6) as reference_accuracy,
-case when abs(ref_acc - self_acc) > 1e-6 then round((svr_acc - self_acc) / (ref_acc - self_acc), 6) end as gap_closed from s, l""".replace("avg((abs(margin)", "avg((coalesce(abs(margin), 0)"))
+l as (select avg((abs(margin) > {P.TIE} and side = gold_side)::int) as learned_acc from decided)
+select round(self_acc, 6) as self_accuracy, round(learned_acc, 6) as learned_accuracy, round(ref_acc, 6) as reference_accuracy,
+case when abs(ref_acc - self_acc) > 1e-6 then round((learned_acc - self_acc) / (ref_acc - self_acc), 6) end as gap_closed from s, l""".replace("avg((abs(margin)", "avg((coalesce(abs(margin), 0)"))
 def gap_closed(spark: SparkSession, where: str) -> DataFrame:
     """Accuracy with self-made, all and human rubrics, and the share of the gap between the first and the last that all close."""
     plain = _compared(spark, where).persist(StorageLevel.MEMORY_AND_DISK)
