@@ -12,10 +12,9 @@ end that is usual in a list isn't taken for one in prose.
 
 Only the contexts that some value ends in are counted. A bitmap with some sixteen bits for each of them (up to MOST_BITS) is
 broadcast and spares the rest before anything is shuffled. A context is looked for only where its shorter ones are wanted, since all
-lengths of an end are. What a task holds of counts is bounded: beyond one context for each PER_CONTEXT characters read, and beyond
-MOST_CONTEXTS, the ones seen least so far are forgotten (lossy counting), so that the shuffle stays a share of the text even
-where the bitmap is full. Every value is judged all the same, by the contexts that are left. The end of a text and of its
-exact copies isn't held for or against it.
+lengths of an end are. All occurrences are counted: a task holds counts of about MOST_CONTEXTS contexts, and where there are more it
+hands on what it has and begins anew; the shuffle adds up the parts of a context. The end of a text and of its exact copies isn't
+held for or against it.
 """
 
 from __future__ import annotations
@@ -41,8 +40,8 @@ _BEYOND = 4
 SUPPORT = 3
 #: Least and most bits of the bitmap of wanted contexts; the most are 32 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-#: Characters read for each context that a task may hold counts of, and the most that it holds.
-PER_CONTEXT, MOST_CONTEXTS = 16, 1 << 20
+#: Contexts that a task holds counts of before it hands them on.
+MOST_CONTEXTS = 1 << 20
 
 #: Characters of the end in which a trace is looked for, and of what is counted at once; longer texts are taken in pieces that
 #: overlap by more than the longest context.
@@ -252,34 +251,37 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class _Tally:
-    """Counts (key, ends, inside, total) of a task, those seen least forgotten where there are too many."""
+    """Counts (key, ends, inside, total) of a task, handed on in parts where there are too many."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.held = self.read = 0
-
-    def most(self) -> int:
-        return min(MOST_CONTEXTS, max(1 << 12, self.read // PER_CONTEXT))
+        self.held = 0
 
     def add(self, p: Positions, table: np.ndarray) -> None:
-        self.read += len(p.real)
         got = list(p.sought(table))
         if not got:
             return
         at = np.concatenate([places for _, places in got])
         self.parts.append(_summed(np.concatenate([k for k, _ in got]), p.end[at], p.inside[at], np.ones(len(at))))
         self.held += len(self.parts[-1][0])
-        if self.held > 2 * self.most():
-            self.settle()
 
-    def settle(self) -> None:
+    def full(self) -> bool:
+        """Whether more than MOST_CONTEXTS are held once those met several times are one."""
+        if self.held > 2 * MOST_CONTEXTS:
+            self.parts = [_summed(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))]
+            self.held = len(self.parts[0][0])
+            return self.held > MOST_CONTEXTS
+        return False
+
+    def handed_on(self) -> Iterator[pd.DataFrame]:
+        """All that is held, in pieces; nothing is held then."""
         if not self.parts:
             return
         keys, ends, inside, total = _summed(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
-        if len(keys) > self.most():
-            kept = np.argpartition(total, len(keys) - self.most() // 2)[len(keys) - self.most() // 2 :]
-            keys, ends, inside, total = keys[kept], ends[kept], inside[kept], total[kept]
-        self.parts, self.held = [(keys, ends, inside, total)], len(keys)
+        self.parts, self.held = [], 0
+        for at in range(0, len(keys), 100_000):
+            s = slice(at, at + 100_000)
+            yield pd.DataFrame({"key": keys[s].view(np.int64), "ends": ends[s], "inside": inside[s], "total": total[s]})
 
 
 def _counts(held):
@@ -288,11 +290,9 @@ def _counts(held):
         for b in batches:
             for p in _chunks([strip_trace(t)[0] for t in b["text"]]):
                 tally.add(p, table)
-        tally.settle()
-        for keys, ends, inside, total in tally.parts:
-            for at in range(0, len(keys), 100_000):
-                s = slice(at, at + 100_000)
-                yield pd.DataFrame({"key": keys[s].view(np.int64), "ends": ends[s], "inside": inside[s], "total": total[s]})
+                if tally.full():
+                    yield from tally.handed_on()
+        yield from tally.handed_on()
 
     return step
 

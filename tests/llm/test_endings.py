@@ -1,7 +1,12 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
+import pytest
 from conftest import rows
-from quillmark.llm import truncation
+from quillmark.llm import endings, truncation
 
 NOUNS = ["table", "margin", "budget", "report", "ledger"]
 
@@ -80,3 +85,22 @@ def test_learned_thresholds_keep_cuts(spark):
     got = {r["id"]: r["cut"] for r in truncation.truncated(df, learn=True).collect()}
     assert len(got) == len(whole) + len(cut)
     assert sum(got[i] for i, _ in cut) >= 0.95 * len(cut) and sum(got[i] for i, _ in whole) <= 0.02 * len(whole)
+
+
+@pytest.mark.parametrize("most", [500, 1 << 20])  # 500, so that counts are handed on many times
+def test_no_count_is_forgotten(monkeypatch, most):
+    """Each context of a task is counted as often as it occurs, however many contexts there are."""
+    monkeypatch.setattr(endings, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(endings, "_PIECE", 4_000)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) + "." for _ in range(300)]
+    table = np.full(128, 255, dtype=np.uint8)  # a full bitmap
+    want = Counter()
+    for p in endings._chunks(texts):
+        for keys, _ in p.sought(table):
+            want.update(keys.view(np.int64).tolist())
+    got = Counter()
+    for part in endings._counts(SimpleNamespace(value=table))(iter([pd.DataFrame({"text": texts[:100]}), pd.DataFrame({"text": texts[100:]})])):
+        for key, total in zip(part["key"].tolist(), part["total"].tolist(), strict=True):
+            got[key] += total
+    assert got == want and len(want) > 50_000
