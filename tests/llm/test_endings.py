@@ -104,3 +104,16 @@ def test_no_count_is_forgotten(monkeypatch, most):
         for key, total in zip(part["key"].tolist(), part["total"].tolist(), strict=True):
             got[key] += total
     assert got == want and len(want) > 50_000
+
+
+def test_no_end_of_a_response_is_forgotten():
+    """The ends that p1's responses show after a context are all counted, too, next to what goes on."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) + "." for _ in range(300)]
+    table = np.full(128, 255, dtype=np.uint8)
+    ends = inside = 0
+    for p in endings._chunks(texts):
+        for _, at in p.sought(table):
+            ends, inside = ends + int(p.end[at].sum()), inside + int(p.inside[at].sum())
+    got = pd.concat(endings._counts(SimpleNamespace(value=table))(iter([pd.DataFrame({"text": texts})])))
+    assert (got["ends"].sum(), got["inside"].sum()) == (ends, inside) and ends > 1000
