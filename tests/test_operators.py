@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from quillmark.functions.text import STOPWORDS
-from quillmark.operators import bank, components, metrics, pairs, recovery, selection, stages, worklist
+from quillmark.operators import alike, bank, components, metrics, pairs, recovery, selection, stages, worklist
+from quillmark.plans import catalogue
 
 
 def test_sparsemax_is_the_projection(spark):
@@ -387,3 +388,32 @@ def test_benchmark_means(spark):
     assert rows(metrics.strict(cells, "d")) == [("a", 2, 0.5, 3, 2.0)]
     a = spark.createDataFrame([("x", 1.0), ("y", None)], "subset string, accuracy double")
     assert rows(metrics.mean_of_subsets(a, spark.createDataFrame([("t", 0.5)], "subset string, score double"))) == [(0.5, 3)]
+
+
+def test_bounds_lose_no_alike_pair():
+    """What the bounds on characters drop has a lower ratio, and of unlike texts they drop nearly all before difflib sees them."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("bdgklmnrstvz", k=8)) for _ in range(40)]
+    base = [f"states the total of {rng.randint(1, 9999)} for {rng.choice(names)} and ranks it against the {rng.choice(names)} schedule {rng.choice(names)} " * rng.choice([1, 1, 2, 6]) for _ in range(60)] + ["x", "0 1"]
+    vary = lambda t: "".join(rng.choice("abcdefgh 12") if rng.random() < 0.08 else c for c in t)
+    s = [vary(rng.choice(base)) for _ in range(400)]
+    t = [vary(rng.choice([x, *base])) for x in s]
+    ratio = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(s, t, strict=True)]
+    able = alike._may_be_alike(s, t, 0.83)
+    assert all(a or x < 0.83 for a, x in zip(able, ratio, strict=True)) and any(x >= 0.83 for x in ratio)
+    unlike = [("".join(rng.choices("abcdefghijklmnop 0123", k=110)), "".join(rng.choices("abcdefghijklmnop 0123", k=110))) for _ in range(200)]
+    assert not alike._may_be_alike(*map(list, zip(*unlike, strict=True)), 0.83).any()
+
+
+def test_a_table_looked_up_in_itself(spark):
+    """With equal=False rows don't stand in their own way: before, each matched itself and nothing else."""
+    texts = ["names the ledger of brakvorn before noon", "names the ledger of brakvorn before noone", "cites report 17 of the archive"]
+    df = spark.createDataFrame([(i, t, "style") for i, t in enumerate(texts)], "id long, text string, facet string")
+    assert sorted((a, b) for a, b, _ in rows(bank.lookup(df, df, equal=False))) == [(0, 1), (1, 0)]
+
+
+def test_reworded_proposals_are_clustered(spark, tmp_path):
+    texts = ["Names the ledger of brakvorn before noon.", "Names the ledger of brakvorn before noone!", "Cites report 17 of the archive.", "names the ledger of brakvorn before noon"]
+    items = [(i, t, "style", "major", "src", None) for i, t in enumerate(texts)]
+    spark.createDataFrame(items, "rubric_id long, text string, facet string, importance string, source string, grounding string").write.parquet(f"{tmp_path}/rubric_items.parquet")
+    assert rows(catalogue.queries()["proposal_clusters"](spark, str(tmp_path))) == [(0, 0), (1, 0), (2, 2)]
