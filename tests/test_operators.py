@@ -417,3 +417,64 @@ def test_reworded_proposals_are_clustered(spark, tmp_path):
     items = [(i, t, "style", "major", "src", None) for i, t in enumerate(texts)]
     spark.createDataFrame(items, "rubric_id long, text string, facet string, importance string, source string, grounding string").write.parquet(f"{tmp_path}/rubric_items.parquet")
     assert rows(catalogue.queries()["proposal_clusters"](spark, str(tmp_path))) == [(0, 0), (1, 0), (2, 2)]
+
+
+def token_texts(rng, n):
+    words = [f"w{k}" for k in range(14)] + ["often", "always"]
+    base = [["often", "always", *rng.sample(words[:14], rng.randint(0, 7))] for _ in range(n // 4)]
+    out = [[w for w in rng.choice(base) if rng.random() > 0.1] + ([rng.choice(words)] if rng.random() < 0.4 else []) for _ in range(n)]
+    return [(i, " ".join(rng.sample(t, len(t))) if i % 29 else None) for i, t in enumerate(out)]
+
+
+def overlap_of(x, y):
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+@pytest.mark.parametrize(("least", "limit"), [(0.6, 2), (0.6, 1000), (0.8, 2)])  # 2, so that keys are split up to three tokens
+def test_similar_classes_against_all_pairs(spark, least, limit):
+    texts = token_texts(random.Random(12), 160)
+    members, pairs = bank.similar_classes(spark.createDataFrame(texts, "id long, text string"), least, limit)
+    of = {i: frozenset(t.split()) for i, t in texts if t}
+    classes = {}
+    for i, c in members.collect():
+        classes.setdefault(c, set()).add(of[i])
+    assert all(len(s) == 1 for s in classes.values()) and len(classes) == len({s for s in of.values() if s})
+    own = {c: next(iter(s)) for c, s in classes.items()}
+    want = {(a, b, round(overlap_of(own[a], own[b]), 9)) for a in own for b in own if a < b and overlap_of(own[a], own[b]) >= least - 1e-9}
+    assert {(a, b, round(x, 9)) for a, b, x in pairs.collect()} == want and len(want) > 20
+
+
+def test_leaders_of_texts_against_the_sequential_ones(spark):
+    rng = random.Random(13)
+    texts = token_texts(rng, 160)
+    rank = rng.sample(range(160), 160)
+    of = {i: frozenset((t or "").split()) for i, t in texts}
+    score = {(a, b): x for a in of for b in of if a != b and (x := overlap_of(of[a], of[b])) >= 0.6 - 1e-9}
+    df = spark.createDataFrame([(i, t, rank[i]) for i, t in texts], "id long, text string, rank int")
+    assert dict(rows(bank.leaders_of_texts(df, 0.6))) == greedy_leaders(sorted(of, key=rank.__getitem__), score)
+
+
+def test_copies_of_a_text_make_no_pairs(spark):
+    """Before, n copies of a text made n * n / 2 links."""
+    df = spark.range(3000).selectExpr("id", "'names the ledger of brakvorn' as text", "cast(id as int) as rank")
+    members, pairs = bank.similar_classes(df.select("id", "text"), 0.6)
+    assert members.count() == 3000 and pairs.count() == 0
+    assert bank.leaders_of_texts(df, 0.6).where("leader_id = 0").count() == 3000
+
+
+def test_most_overlapping_by_frequent_and_other_words(spark):
+    """More words than an entry's mask holds: those beyond it are counted by postings, and ties go to larger ids in every block."""
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(200)]
+    pick = lambda n: " ".join({rng.choice(words[: rng.choice([20, 80, 200])]) for _ in range(n)})
+    entries, asked = [(i, pick(6)) for i in range(500)], [(i, pick(10)) for i in range(80)] + [(99, "nothing known")]
+    b, p = spark.createDataFrame(entries, "bank_id long, text string"), spark.createDataFrame(asked, "id long, text string")
+    sets = {i: set(t.split()) for i, t in entries}
+    want = []
+    for i, t in asked:
+        order = sorted(((len(set(t.split()) & s) / len(s), j) for j, s in sets.items()), reverse=True)
+        want += [(i, j, x, n) for n, (x, j) in enumerate(order[:4], 1) if x > 0]
+    for block in (1000, 90):
+        assert rows(bank.most_overlapping(p, b, block=block)) == sorted(want, key=repr)
+    index = bank._index(np.arange(500), [np.array(t.split()) for _, t in entries], 4)
+    assert len(index[3]) == 64 and len(index[4]) > 64
