@@ -3,7 +3,9 @@ import inspect
 import itertools
 import json
 import math
+import pickle
 import random
+import types
 
 import numpy as np
 import pandas as pd
@@ -478,3 +480,9 @@ def test_most_overlapping_by_frequent_and_other_words(spark):
         assert rows(bank.most_overlapping(p, b, block=block)) == sorted(want, key=repr)
     index = bank._index(np.arange(500), [np.array(t.split()) for _, t in entries], 4)
     assert len(index[3]) == 64 and len(index[4]) > 64
+
+
+def test_an_empty_block_of_entries():
+    held = types.SimpleNamespace(value=pickle.dumps(bank._index(np.zeros(0, dtype=np.int64), [], 4)))
+    asked = pd.DataFrame({"id": [1], "words": [np.array(["alpha"])]})
+    assert [len(b) for b in bank._best_of(held, 4)(iter([asked]))] == [0]
