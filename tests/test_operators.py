@@ -9,6 +9,7 @@ import types
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -486,3 +487,37 @@ def test_an_empty_block_of_entries():
     held = types.SimpleNamespace(value=pickle.dumps(bank._index(np.zeros(0, dtype=np.int64), [], 4)))
     asked = pd.DataFrame({"id": [1], "words": [np.array(["alpha"])]})
     assert [len(b) for b in bank._best_of(held, 4)(iter([asked]))] == [0]
+
+
+def test_ratio_is_that_of_difflib():
+    rng = random.Random(8)
+    for _ in range(3000):
+        letters = rng.choice(["ab", "abcd ", "abcdefghijklmnopqrstuvwxyz 0"])
+        s = "".join(rng.choices(letters, k=rng.choice([0, 1, 7, 30, 90, 230])))
+        t = "".join(rng.choice(letters) if rng.random() < 0.1 else c for c in s if rng.random() < 0.95) if rng.random() < 0.7 else "".join(rng.choices(letters, k=rng.randint(0, 60)))
+        assert alike.ratio(s, t) == difflib.SequenceMatcher(None, s, t).ratio()
+
+
+def test_bundles_compare_a_pair_once(monkeypatch):
+    """A pair that shares several keys is compared under the first of them alone, wherever the bundles are parted."""
+    texts = ["names the ledger of brakvorn before noon", "names the ledger of brakvorn before noone", "cites report 17 of the archive", "x " * 300]
+    xs = [[{"id": i, "text": t.strip(), "before": before} for i, t in enumerate(texts)] for before in ([], ["ledger"], ["other"])]
+    ys = [[{"id": 10 + i, "text": t.strip() + " y"} for i, t in enumerate(texts)]] * 3
+    batch = pa.record_batch({"xs": pa.array(xs, pa.list_(pa.struct([("id", pa.int64()), ("text", pa.string()), ("before", pa.list_(pa.string()))]))), "ys": pa.array(ys, pa.list_(pa.struct([("id", pa.int64()), ("text", pa.string())])))})
+    want = [(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts, 10) if difflib.SequenceMatcher(None, s.strip(), t.strip() + " y").ratio() >= 0.83]
+    for held in (1, 10_000):
+        monkeypatch.setattr(alike, "_HELD_TEXTS", held)
+        got = [(r["sid"], r["tid"]) for b in alike.compared(0.83, 0.88)(iter([batch])) for r in b.to_pylist()]
+        assert sorted(got) == sorted([*want, *((i, j) for i, j in want if "ledger" not in texts[j - 10]), *want])
+
+
+def test_lookup_deals_frequent_keys_over_cells(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [f"names the ledger of {rng.choice(['brakvorn', 'trixnor', 'molgad'])} before {rng.choice(['noon', 'dusk', 'dawn'])} {rng.choice(['', 'again', 'twice'])}" for _ in range(60)] + ["a b c", "a b", "b a b"]
+    df = spark.createDataFrame([(i, t + "abcdefg"[i % 7], rng.choice(["style", "format"])) for i, t in enumerate(texts)], "id long, text string, facet string")
+    for equal in (True, False):
+        monkeypatch.setattr(bank, "_EDGE", 128)
+        whole = rows(bank.lookup(df, df, equal=equal))
+        assert len({(i, j) for i, j, _ in whole}) == len(whole) > 50
+        monkeypatch.setattr(bank, "_EDGE", 3)
+        assert rows(bank.lookup(df, df, equal=equal)) == whole
